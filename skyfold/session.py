@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,32 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "sk
     )
 
 
+_own_folders: list[tempfile.TemporaryDirectory] = []
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not _own_folders:
+        _own_folders.append(tempfile.TemporaryDirectory(prefix="skyfold-"))
+    return _own_folders[0].name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+    """Writes the rows once to the cluster's shared folder and reads them back.
 
-    The folder is read from ``spark.checkpoint.dir``. Only when nobody has set
-    one (local tests) is a temporary folder used.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made
+    only where that is unset (local tests). Unlike a cached block, the table
+    survives the loss of executors, and its size is known to the optimizer.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skyfold-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark).rstrip('/')}/skyfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions that are not merged again: for small rows with much work each."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
