@@ -75,7 +75,8 @@ def skew(t: Vec) -> list[Column]:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Bounds a value; NULL stays NULL (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def rounded(c: Column, digits: int = 6) -> Column:

@@ -484,7 +484,7 @@ def _views_of_faces(spark, sf):
 
 
 def _best(spark, sf):
-    return vw.best_views(_views_of_faces(spark, sf), ad.faces(spark, sf))
+    return cut_lineage(vw.best_views(_views_of_faces(spark, sf), ad.faces(spark, sf)))
 
 
 @query("face_visibility", "vertices faces cameras", _VIEW + f"SELECT mesh_id, f, camera_id, {r6('cos_theta')} cos_theta, {r6('score')} score FROM vv")
