@@ -137,11 +137,12 @@ def _large_missions(cams: DataFrame, block: int) -> DataFrame:
     blocks = spread(cut_lineage(paired), "mission_id", "block_a", "block_b")
 
     def totals(centres: DataFrame | None) -> DataFrame:
-        joined = blocks if centres is None else blocks.join(centres, "mission_id")
+        gated = centres is not None
+        joined = blocks.join(centres, "mission_id") if gated else blocks
 
         def count(pdf: pd.DataFrame) -> pd.DataFrame:
             ratios = _pair_ratios(*_two_blocks(pdf))
-            if centres is not None:
+            if gated:
                 ratios = ratios[np.abs(ratios - pdf["centre"].iloc[0]) <= pdf["limit"].iloc[0]]
             mean = ratios.mean() if len(ratios) else 0.0
             return pd.DataFrame({"mission_id": [pdf["mission_id"].iloc[0]], "n": [len(ratios)], "mean": [mean],

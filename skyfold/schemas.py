@@ -4,25 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, types as T
 
-FIXES = T.StructType.fromDDL(
-    "timestamp_sec double, latitude double, longitude double, altitude double, fix_type string, source string"
+FIXES = ("timestamp_sec double, latitude double, longitude double, altitude double, fix_type string, source string"
 )
-FRAME_ENTRY = "frame_id string, frame_index bigint, timestamp_sec double, file string, filepath string, filename string, width int, height int, file_size_bytes bigint"
-MANIFEST = T.StructType.fromDDL(
-    f"video_name string, fps double, total_frames bigint, extracted_frame_count bigint, frames array<struct<{FRAME_ENTRY.replace(' ', ':').replace(',:', ',')}>>"
+FRAME_ENTRY = "frame_id: string, frame_index: bigint, timestamp_sec: double, file: string, filepath: string, filename: string, width: int, height: int, file_size_bytes: bigint"
+MANIFEST = (f"video_name string, fps double, total_frames bigint, extracted_frame_count bigint, frames array<struct<{FRAME_ENTRY}>>"
 )
-MISSIONS = T.StructType.fromDDL(
-    "mission_id bigint, name string, status string, sensor_width_mm double, focal_length_mm double, flight_altitude_m double, "
+MISSIONS = ("mission_id bigint, name string, status string, sensor_width_mm double, focal_length_mm double, flight_altitude_m double, "
     "target_gsd_cm double, image_w int, video_size_bytes bigint, fps double, video_w int, video_h int, total_frames bigint, created_sec bigint"
 )
-JOBS = T.StructType.fromDDL("job_id bigint, mission_id bigint, status string, error_stage string, started_sec bigint")
-JOB_STAGES = T.StructType.fromDDL(
-    "job_id bigint, stage_name string, stage_order int, status string, execution_time_seconds double, metrics_json string"
+JOBS = ("job_id bigint, mission_id bigint, status string, error_stage string, started_sec bigint")
+JOB_STAGES = ("job_id bigint, stage_name string, stage_order int, status string, execution_time_seconds double, metrics_json string"
 )
-ARTIFACTS = T.StructType.fromDDL(
-    "job_id bigint, artifact_type string, stage_name string, stage_order int, file_path string, file_size_bytes bigint"
+ARTIFACTS = ("job_id bigint, artifact_type string, stage_name string, stage_order int, file_path string, file_size_bytes bigint"
 )
-FRAMES = T.StructType.fromDDL("mission_id bigint, frame_id bigint, frame_index bigint, timestamp_sec double")
+FRAMES = ("mission_id bigint, frame_id bigint, frame_index bigint, timestamp_sec double")
 CONTROL = {"missions": MISSIONS, "jobs": JOBS, "job_stages": JOB_STAGES, "artifacts": ARTIFACTS, "frames": FRAMES}
 
 REPORTS = {
@@ -36,8 +31,9 @@ REPORTS = {
 }
 
 
-def require(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+def require(df: DataFrame, ddl: str, name: str) -> DataFrame:
     """The columns of the schema in order; fails on a missing column or another type."""
+    schema = T.StructType.fromDDL(ddl)
     have = {f.name: f.dataType for f in df.schema.fields}
     for field in schema.fields:
         if field.name not in have:

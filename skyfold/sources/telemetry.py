@@ -26,7 +26,7 @@ def subtitle_fixes(texts: DataFrame, text: str = "value") -> DataFrame:
     blocks = texts.withColumn("_clean", clean).select(
         *[c for c in texts.columns if c != text], F.posexplode(F.split("_clean", "\n\n")).alias("block_no", "_block")
     )
-    lines = F.filter(F.transform(F.split("_block", "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("_block", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rows = blocks.withColumn("_lines", lines).where(F.size("_lines") >= 2)
     content = F.array_join(F.slice("_lines", 3, F.greatest(F.size("_lines") - 2, F.lit(0))), " ")
     return rows.select(
