@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from skyfold.session import cut_lineage
+from skyfold.session import cut_lineage, spread
 
 
 def running_index(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, name: str) -> DataFrame:
@@ -89,8 +89,7 @@ def chunked_fold(
     Memory per task is one chunk.
     """
     keys, order = list(keys), list(order)
-    staged = df.withColumn("_chunk", -chunk if descending else chunk)
-    spark = df.sparkSession
+    staged = cut_lineage(df.withColumn("_chunk", -chunk if descending else chunk))
     key_fields = [f for f in staged.schema.fields if f.name in [*keys, "_chunk"]]
     state_schema = T.StructType([*key_fields, T.StructField("state_out", T.StringType())])
 
@@ -115,10 +114,10 @@ def chunked_fold(
     longest = chunks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest <= 1:
         single = staged.withColumn("state_in", F.lit(None).cast("string"))
-        return single.groupBy(*group).applyInPandas(rows, schema)
+        return spread(single, *group).groupBy(*group).applyInPandas(rows, schema)
 
     def run(dirty: DataFrame) -> DataFrame:
-        return staged.join(dirty, group).groupBy(*group).applyInPandas(final_state, state_schema)
+        return spread(staged.join(dirty, group), *group).groupBy(*group).applyInPandas(final_state, state_schema)
 
     along = Window.partitionBy(*keys).orderBy("_chunk")
     states = chunks.withColumn("state_in", F.lit(None).cast("string"))
@@ -139,4 +138,4 @@ def chunked_fold(
     else:
         raise RuntimeError("chunk states did not settle")
     final = staged.join(states.select(*group, "state_in"), group)
-    return final.groupBy(*group).applyInPandas(rows, schema)
+    return spread(final, *group).groupBy(*group).applyInPandas(rows, schema)

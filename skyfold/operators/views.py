@@ -10,6 +10,7 @@ from skyfold.functions import linalg as la
 from skyfold.functions.linalg import clip, rounded
 from skyfold.operators.mesh import face_geometry
 from skyfold.operators.neighbours import k_nearest
+from skyfold.session import cut_lineage
 
 KEY = ["mesh_id"]
 OPTICS = ["R", "t", "cx", "cy", "cz", "fx", "fy", "px", "py", "w", "h", "quality"]
@@ -112,6 +113,7 @@ def face_targets(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def face_views(targets: DataFrame, cameras: DataFrame, min_cos: float = 0.15, margin: int = 8) -> DataFrame:
     """All valid (face, camera) views with their score."""
+    targets = cut_lineage(targets)
     seen = _project(view_candidates(targets, cameras)).where(
         (F.col("distance") >= 1e-4) & (F.col("cos_theta") > min_cos) & _inside(margin)
     )

@@ -40,7 +40,7 @@ def subtitle_fixes(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle files, one row per block; each (small) file is read whole."""
-    texts = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    texts = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return subtitle_fixes(texts)
 
 
