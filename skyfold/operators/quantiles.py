@@ -47,23 +47,24 @@ def exact_quantiles(
         ).withField("hi", F.when(b["p"] >= 1 - slack, F.col("_max")).otherwise(b["hi"]))),
     )
     paired = data.join(summary.select(*keys, "_b"), keys).select(*keys, "_v", F.explode("_b").alias("_b"))
-    below = F.col("_v") < F.col("_b.lo")
-    banded = (
-        paired.where(F.col("_v") <= F.col("_b.hi"))
-        .groupBy(*keys, F.col("_b.name").alias("_name"), F.when(~below, F.col("_v")).alias("_bv"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+    # Values below and above the bracket are one counted row each; the row keeps the
+    # value next to the bracket, which interpolation may need.
+    side = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") <= F.col("_b.hi"), 1).otherwise(2)
+    sided = paired.withColumn("_side", side)
+    banded = sided.groupBy(
+        *keys, F.col("_b.name").alias("_name"), "_side", F.when(F.col("_side") == 1, F.col("_v")).alias("_in")
+    ).agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.when(F.col("_side") == 2, F.min("_v")).otherwise(F.max("_v")).alias("_bv"),
     )
     upto = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_bv").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "_name").orderBy("_side", "_bv").rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = banded.withColumn("_upto", F.sum("_c").over(upto))
     probabilities = F.create_map(*[x for n, p in quantiles.items() for x in (F.lit(n), F.lit(p))])
     positions = (
         ranked.join(summary.select(*keys, "_n"), keys)
         .withColumn("_rank", F.element_at(probabilities, F.col("_name")) * (F.col("_n") - 1))
-        .where(F.col("_bv").isNotNull())
     )
     low = F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_bv")))
     high = F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_bv")))
