@@ -73,14 +73,18 @@ def test_exact_quantiles(spark, values, accuracy):
         assert np.allclose([row.lo, row.mid, row.p90, row.hi], np.percentile(own, [0, 50, 90, 100]), rtol=1e-9, atol=1e-9)
 
 
-def counter(pdf, text):
+def machine():
     """A machine that is reset by large values, so that its state depends on the past."""
-    total = json.loads(text)["total"] if text else 0
-    out = []
-    for v in pdf["v"]:
-        total = 0 if v > 6 else total + int(v)
-        out.append(total)
-    return pdf[["k", "i"]].assign(total=out), json.dumps({"total": total})
+
+    def counter(pdf, text):
+        total = json.loads(text)["total"] if text else 0
+        out = []
+        for v in pdf["v"]:
+            total = 0 if v > 6 else total + int(v)
+            out.append(total)
+        return pdf[["k", "i"]].assign(total=out), json.dumps({"total": total})
+
+    return counter
 
 
 @pytest.mark.parametrize("chunk", [3, 10, 1000])
@@ -88,10 +92,10 @@ def counter(pdf, text):
 def test_chunked_fold_equals_sequential(spark, chunk, descending):
     rng = np.random.default_rng(1)
     rows = pd.DataFrame({"k": [1] * 80 + [2] * 5, "i": list(range(80)) + list(range(5)), "v": rng.integers(0, 8, 85)})
-    got = chunked_fold(spark.createDataFrame(rows), ["k"], ["i"], F.floor(F.col("i") / chunk), counter, "k bigint, i bigint, total bigint", descending)
+    got = chunked_fold(spark.createDataFrame(rows), ["k"], ["i"], F.floor(F.col("i") / chunk), machine(), "k bigint, i bigint, total bigint", descending)
     expected = []
     for _, part in rows.groupby("k"):
-        expected.append(counter(part.sort_values("i", ascending=not descending), None)[0])
+        expected.append(machine()(part.sort_values("i", ascending=not descending), None)[0])
     left = got.toPandas().sort_values(["k", "i"]).reset_index(drop=True)
     right = pd.concat(expected).sort_values(["k", "i"]).reset_index(drop=True)
     assert left["total"].tolist() == right["total"].tolist()
