@@ -117,7 +117,7 @@ def _sums(values: np.ndarray, which: int) -> np.ndarray:
     return out
 
 
-def byte_batches(rows: Iterable, size_of, limit: int = 4 << 20) -> Iterator[list]:
+def byte_batches(rows: Iterable, size_of, limit: int = 1 << 20) -> Iterator[list]:
     """Consecutive rows in lists of about ``limit`` bytes; a longer row comes alone."""
     batch, held = [], 0
     for row in rows:

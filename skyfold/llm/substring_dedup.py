@@ -229,7 +229,7 @@ def repeated_spans(table: DataFrame, win: Windows = Windows()) -> DataFrame:
     bits = min(win.most_bits, max(SLICE_BITS, int(letters // 8).bit_length()))
     spark = table.sparkSession
     sketch = spark.sparkContext.broadcast(_Filter(_sketch(table, win, bits), bits, win.depth))
-    rows = frozen(_candidates(table, win, sketch))
+    rows = _candidates(table, win, sketch)  # read twice rather than written: hashing a text again costs less than a table of the size
     return rows.where("mask = 0").select("id", "first", "last").unionByName(_later(rows))
 
 
