@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,20 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 def frozen(df: DataFrame) -> DataFrame:
     """The rows written once to the cluster's shared folder, so that every later read sees the same rows."""
-    return cut_lineage(df)
+    return cut_lineage(df, _made[-1] if _made else None)
+
+
+_made: list[list[str]] = []
+
+
+@contextmanager
+def noted_tables(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` the tables that operators write meanwhile, so that their caller can drop them when its result is written."""
+    _made.append(paths)
+    try:
+        yield
+    finally:
+        _made.pop()
 
 
 def packed(docs: DataFrame, name: str = "_row") -> DataFrame:

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import WordTable, byte_batches, frozen, mix, packed, text_of, unpacked
+from skyfold.llm.common import WordTable, byte_batches, frozen, packed, text_of, unpacked
+from skyfold.llm.sketch import SLICE_BITS, Sketch, merged_sketch
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,6 @@ class Windows:
     hot: int = 5_000
 
 
-#: Cells that are merged and kept together.
-SLICE_BITS = 18
-
-
 class _Found:
     """The windows of some texts with the anchor of each: ``at`` (first word), ``anchor`` (its first word) and both hashes."""
 
@@ -52,68 +49,15 @@ class _Found:
             self.anchor, self.keys = self.at, np.empty(0, np.uint64)
 
 
-def _cells(keys: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
-    return [(mix(keys + np.uint64(0x1000003 * (d + 1))) >> np.uint64(64 - bits)).astype(np.int64) for d in range(depth)]
-
-
-def _sketch(table: DataFrame, win: Windows, bits: int) -> dict[tuple[int, int], tuple[bytes, bytes]]:
-    """Merged sketch by (row, slice): bits of the cells counted twice or more, and of the hot ones.
-
-    A task leaves for each slice the cells it counted; all of a slice meet in one
-    task, which adds them up in an array of the slice's size.
-    """
-    wide = 1 << SLICE_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(table: DataFrame, win: Windows, bits: int) -> Sketch:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for part in byte_batches((t.encode() for t in b.column(0).to_pylist()), len):
                 found = _Found(part, win)
-                fresh = np.flatnonzero(np.diff(found.anchor, prepend=-1))  # an occurrence counts once, whatever number of windows it serves
-                for d, cells in enumerate(_cells(found.keys[fresh], bits, win.depth)):
-                    cells, n = np.unique(cells, return_counts=True)
-                    cuts = np.flatnonzero(np.diff(cells >> SLICE_BITS, prepend=-1))
-                    rows = [(d, int(cells[x] >> SLICE_BITS), (cells[x:y] & (wide - 1)).astype(np.int32).tobytes(), n[x:y].astype(np.int32).tobytes()) for x, y in zip(cuts, [*cuts[1:], len(cells)])]
-                    if rows:
-                        d_, s_, c_, n_ = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(d_, pa.int32()), pa.array(s_, pa.int32()), pa.array(c_, pa.binary()), pa.array(n_, pa.binary())], names=["d", "s", "cells", "n"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, None
+                # an occurrence counts once, whatever number of windows it serves
+                yield found.keys[np.flatnonzero(np.diff(found.anchor, prepend=-1))]
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(sums >= 2).tobytes()], pa.binary()), pa.array([np.packbits(sums >= win.hot).tobytes()], pa.binary())], names=["d", "s", "twice", "hot"])
-
-        for b in batches:
-            for d, s, cells, n in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if now != (d, s):
-                    if now is not None:
-                        yield out()
-                    now, sums = (d, s), np.zeros(wide, np.int64)
-                sums[np.frombuffer(cells, np.int32)] += np.frombuffer(n, np.int32)
-        if now is not None:
-            yield out()
-
-    counted = table.select("_text").mapInArrow(count, "d int, s int, cells binary, n binary")
-    merged = counted.repartition("d", "s").sortWithinPartitions("d", "s").mapInArrow(merge, "d int, s int, twice binary, hot binary")
-    return {(r["d"], r["s"]): (bytes(r["twice"]), bytes(r["hot"])) for r in frozen(merged).toLocalIterator()}
-
-
-class _Filter:
-    """The merged sketch as bit tables."""
-
-    def __init__(self, slices: dict, bits: int, depth: int):
-        size = (1 << SLICE_BITS) // 8
-        self.bits, self.depth = bits, depth
-        self.tables = [[np.zeros(max(1, 1 << bits >> 3), np.uint8) for _ in range(depth)] for _ in range(2)]
-        for (d, s), both in slices.items():
-            for table, data in zip(self.tables, both):
-                table[d][s * size : s * size + size] = np.frombuffer(data, np.uint8)
-
-    def test(self, keys: np.ndarray, which: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for table, c in zip(self.tables[which], _cells(keys, self.bits, self.depth)):
-            out &= (table[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-        return out
+    return merged_sketch(table.select("_text"), keys, bits, win.depth, [2, win.hot])
 
 
 def _spans(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +172,7 @@ def repeated_spans(table: DataFrame, win: Windows = Windows()) -> DataFrame:
     letters = table.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = min(win.most_bits, max(SLICE_BITS, int(letters // 8).bit_length()))
     spark = table.sparkSession
-    sketch = spark.sparkContext.broadcast(_Filter(_sketch(table, win, bits), bits, win.depth))
+    sketch = spark.sparkContext.broadcast(_sketch(table, win, bits))
     rows = _candidates(table, win, sketch)  # read twice rather than written: hashing a text again costs less than a table of the size
     return rows.where("mask = 0").select("id", "first", "last").unionByName(_later(rows))
 

@@ -495,3 +495,59 @@ def test_lm_scores(spark, hard, empty):
             assert r["log_score"] == pytest.approx(s, abs=1e-6 * max(1, abs(s)))
             assert (r["mean_log_score"] is None) == (not t)
     assert lm_scoring.lm_scores(empty).count() == 0
+
+
+# --- sketch and pipeline
+
+
+def test_sketch_never_underestimates(spark):
+    from skyfold.llm.sketch import merged_sketch
+
+    rows = spark.createDataFrame([(i % 700,) for i in range(1000)], "k long").repartition(5)
+
+    def keys(batches):
+        for b in batches:
+            yield b.column(0).to_numpy().astype(np.uint64)
+
+    for bits in (18, 25):
+        sketch = merged_sketch(rows, keys, bits, 2, [1, 2])
+        some = np.arange(700, dtype=np.uint64)
+        assert sketch.test(some, 0).all() and sketch.test(some[:300], 1).all()
+        assert sketch.test(some[300:], 1).mean() < 0.05
+
+
+def test_pipeline_equals_plain_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r for r, v in zip(docs.collect(), plain_verdicts(docs.collect(), quality.QualityRules())) if v[-1]]
+    last = {}
+    for r in sorted(good, key=lambda r: r["doc_id"]):
+        last[fold_case(r["text"])] = r
+    once = sorted(last.values(), key=lambda r: r["doc_id"])
+    groups = plain_groups(plain_sets([r["text"] for r in once], 5), 80)
+    left = [r for i, r in enumerate(once) if groups[i] == i]
+    sizes = collections.Counter()
+    for r in left:
+        sizes[r["source"]] += len(words(r["text"]))
+    names = sorted(sizes)
+    goal = {n: round(t) for n, t in zip(names, mixing.targets([sizes[n] for n in names], mixing.Mix().weights, 3))}
+    rows = cp.run(spark, SF).collect()
+    taken = collections.Counter()
+    texts = {r["doc_id"]: r["text"] for r in left}
+    coder = bpe.PrefixBpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    for r in rows:
+        taken[r["source"]] += len(words(r["text"]))
+        assert r["n_chars"] == len(r["text"]) and list(r["ids"]) == coder.encode(r["text"])
+        assert set(words(r["text"])) <= set(words(texts[r["doc_id"]]))
+    assert dict(taken) == {n: g for n, g in goal.items() if g}
+
+
+def test_pipeline_stages_on_hard_rows(spark, hard, empty):
+    import corpus_pipeline as cp
+    from skyfold.session import cut_lineage
+
+    for docs in (hard, empty):
+        for name, stage in cp.STAGES:
+            docs = cut_lineage(stage(spark, docs, SF))
+            assert docs.columns[: len(hard.columns)] == hard.columns, name
