@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skyfold.schemas import CONTROL, MANIFEST, REPORTS, require
 
 # Accepted file endings and the size ceiling of an upload.
 VIDEO_EXTENSIONS = [".mp4", ".mov", ".avi", ".mkv"]
 TELEMETRY_EXTENSIONS = [".srt", ".csv", ".gpx", ".txt", ".json"]
+ISO_BOXES = ["ftyp", "moov", "mdat", "wide", "free", "skip", "pnot"]
 MAX_UPLOAD_BYTES = 2048 * 1024 * 1024
 # Property names of the text cloud format.
 PROPERTY_NAMES = {
@@ -44,9 +49,16 @@ def flat_poses(poses: DataFrame) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their number; numbering needs only a count per partition."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))
-    return spark.createDataFrame(rows, "line bigint, value string")
+    """Text lines of one file with their number.
+
+    A task reads a block of the file in order, so row numbers run on inside a
+    block; one small row for each block gives the lines before it.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy("_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select(F.col("_start").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(offsets, F.col("_start") == F.col("_s")).select((F.col("_before") + F.col("_row") - F.col("_first")).alias("line"), "value")
 
 
 def _header(lines: DataFrame) -> tuple[int, int, int, list[str]]:
@@ -95,14 +107,13 @@ def upload_audit(files: DataFrame, allowed: list[str] | None = None, max_bytes:
     """Verdict of each file of ``path, length, header``: ending, size and container mark."""
     allowed = allowed or VIDEO_EXTENSIONS + TELEMETRY_EXTENSIONS
     ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
-    head = F.hex(F.substring("header", 1, 32))
-    mark = lambda text, size: F.substring(head, 1, size * 2).contains(text.encode().hex().upper())
-    iso = mark("ftyp", 16) | mark("moov", 32) | mark("wide", 16)
+    # ISO media begins with a box: four bytes of length, then its type; RIFF names its form after eight bytes; Matroska has a fixed first element
+    text = lambda first, n: F.decode(F.substring("header", first, n), "ISO-8859-1")
     container = (
         F.when(F.length("header") < 8, False)
-        .when(F.col("ext").isin(".mp4", ".mov"), iso)
-        .when(F.col("ext") == ".avi", head.startswith(b"RIFF".hex().upper()) & mark("AVI ", 16))
-        .when(F.col("ext") == ".mkv", head.startswith("1A45DFA3"))
+        .when(F.col("ext").isin(".mp4", ".mov"), text(5, 4).isin(ISO_BOXES))
+        .when(F.col("ext") == ".avi", (text(1, 4) == "RIFF") & (text(9, 4) == "AVI "))
+        .when(F.col("ext") == ".mkv", F.hex(F.substring("header", 1, 4)) == "1A45DFA3")
         .otherwise(True)
     )
     reason = (
@@ -112,11 +123,20 @@ def upload_audit(files: DataFrame, allowed: list[str] | None = None, max_bytes:
     return files.withColumn("ext", ext).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("header")
 
 
+def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        heads = []
+        for path in b.column(0).to_pylist():
+            store, name = pafs.FileSystem.from_uri(path)
+            with store.open_input_stream(name) as data:
+                heads.append(data.read(32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.binary())], names=["path", "length", "header"])
+
+
 def read_upload_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and first 32 bytes of each file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        "path", "length", F.substring("content", 1, 32).alias("header")
-    )
+    """Path, length and first 32 bytes of each file; no more of a file is read, whatever its size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.mapInArrow(_first_bytes, "path string, length bigint, header binary")
 
 
 def read_control(spark: SparkSession, path: str, name: str) -> DataFrame:

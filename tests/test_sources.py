@@ -48,11 +48,33 @@ def test_text_cloud(spark, tmp_path):
 
 
 def test_upload_audit(spark, tmp_path):
-    files = {"a.mp4": b"\0\0\0\x18ftypisom", "b.mp4": b"MZ\x90\0\x03\0\0\0\x04", "c.avi": b"RIFF\0\0\0\0AVI LIST", "d.mkv": b"\x1a\x45\xdf\xa3\0\0\0\0", "e.exe": b"MZ" * 8}
+    files = {"a.mp4": b"\0\0\0\x18ftypisom", "b.mp4": b"MZ\x90\0\x03\0\0\0\x04", "c.avi": b"RIFF\0\0\0\0AVI LIST", "d.mkv": b"\x1a\x45\xdf\xa3\0\0\0\0", "e.exe": b"MZ" * 8,
+             "f.mp4": bytes.fromhex("1667479701000000000000000000"), "g.mov": b"\0\0\0\x08wide\0\0", "h.avi": b"RIFF\0\0\0\0WAVE"}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in fs.upload_audit(fs.read_upload_inventory(spark, str(tmp_path))).collect()}
-    assert got == {"a.mp4": None, "b.mp4": "BAD_CONTAINER", "c.avi": None, "d.mkv": None, "e.exe": "EXTENSION_NOT_ALLOWED"}
+    assert got == {"a.mp4": None, "b.mp4": "BAD_CONTAINER", "c.avi": None, "d.mkv": None, "e.exe": "EXTENSION_NOT_ALLOWED",
+                   "f.mp4": "BAD_CONTAINER", "g.mov": None, "h.avi": "BAD_CONTAINER"}
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = fs._numbered(spark, str(tmp_path / "big.txt"))
+        assert lines.rdd.getNumPartitions() > 1
+        assert [(r.line, r.value) for r in lines.orderBy("line").collect()] == [(i, f"line {i}") for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cut_lineage_needs_a_shared_folder(spark, monkeypatch):
+    from skyfold import session
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(ValueError):
+        session.shared_folder(spark)
 
 
 def test_sinks_and_control(spark, tmp_path):
