@@ -24,17 +24,18 @@ def fixed_interval(frames: DataFrame, interval: float = 1.0) -> DataFrame:
     return frames.where(F.pmod(F.col("frame_index"), step_size(F.col("fps"), interval)) == 0)
 
 
-def dense_candidates(missions: DataFrame, min_interval: float = 0.2, ceiling: int = 300) -> DataFrame:
-    """Candidate frame indexes at the least spacing, at most three times the frame ceiling."""
+def dense_candidates(missions: DataFrame, min_interval: float = 0.2, ceiling: int | None = None) -> DataFrame:
+    """Candidate frame indexes at the least spacing; with a frame ceiling, at most three times that many."""
     step = step_size(F.col("fps"), min_interval)
-    stop = F.least(F.col("total_frames") - 1, step * (3 * ceiling - 1))
+    last = F.col("total_frames") - 1
+    stop = last if ceiling is None else F.least(last, step * (3 * ceiling - 1))
     return missions.where(F.col("total_frames") > 0).select(
         "mission_id", "fps", "total_frames",
         F.explode(F.sequence(F.lit(0).cast("long"), stop.cast("long"), step.cast("long"))).alias("frame_index"),
     )
 
 
-def up_to_ceiling(frames: DataFrame, ceiling: int = 300, index: str = "sample_index") -> DataFrame:
+def up_to_ceiling(frames: DataFrame, ceiling: int, index: str = "sample_index") -> DataFrame:
     """The first frames of each mission, by their position among the kept ones."""
     return frames.where(F.col(index) < ceiling)
 
@@ -136,7 +137,7 @@ class SamplerRules:
     blur: float = 40.0
     similarity: float = 0.90
     features: int = 50
-    ceiling: int = 300
+    ceiling: int | None = None
     dark: float = 20.0
     bright: float = 235.0
     poor_limit: int = 8
@@ -155,7 +156,7 @@ def correlation(a, b) -> float:
 def gate_decision(row, state: dict, rules: SamplerRules) -> tuple[bool, dict]:
     """Simple gate: drop blurred, repeated or bare frames; ends are always kept."""
     kept = state.get("kept", 0)
-    if kept >= rules.ceiling:
+    if rules.ceiling is not None and kept >= rules.ceiling:
         return False, state
     if kept == 0:
         return True, {"kept": 1, "thumb": list(map(float, row.thumb))}
@@ -171,7 +172,7 @@ def paced_decision(row, state: dict, rules: SamplerRules) -> tuple[bool, dict]:
     """Paced gate: looks only every few frames, slows on static scenes, forces a
     frame after a run of poor ones."""
     saved, poor, due = state.get("kept", 0), state.get("poor", 0), state.get("due", 0)
-    if saved >= rules.ceiling or row.frame_index < due:
+    if row.frame_index < due or (rules.ceiling is not None and saved >= rules.ceiling):
         return False, state
     least = max(1, int(round(row.fps * rules.min_interval)))
     most = max(least + 1, int(round(row.fps * rules.max_interval)))

@@ -70,7 +70,7 @@ def _(spark, sf):
 @query("dense_candidates", "missions", f"""SELECT mission_id, unnest(generate_series(0, least(total_frames-1, {_STEP.format('0.2e0')}*(3*300-1)), {_STEP.format('0.2e0')})) frame_index
  FROM missions m""")
 def _(spark, sf):
-    return fr.dense_candidates(ad.missions(spark, sf)).select("mission_id", "frame_index")
+    return fr.dense_candidates(ad.missions(spark, sf), ceiling=300).select("mission_id", "frame_index")
 
 
 @query("frame_ceiling", "frames", "SELECT mission_id, frame_id, frame_index FROM frames WHERE frame_index < 20")
