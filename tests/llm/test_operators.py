@@ -362,6 +362,17 @@ def test_near_duplicates(spark, hard, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_without_near_duplicates(spark, hard, empty):
+    order = lambda rows: sorted(rows, key=str)
+    twice = hard.unionByName(hard)
+    for docs in (hard, twice):
+        kept = jaccard_join.near_duplicates(docs).where("kept").select("doc_id", "text").collect()
+        stays = jaccard_join.without_near_duplicates(docs)
+        assert stays.columns == docs.columns
+        assert order(stays.select("doc_id", "text").collect()) == order(kept)
+    assert jaccard_join.without_near_duplicates(empty).collect() == []
+
+
 def test_signatures_meet_whenever_sets_link():
     rng = np.random.default_rng(2)
     sim = jaccard_join.Similarity()
