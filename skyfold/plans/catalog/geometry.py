@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skyfold.functions import linalg as la
 from skyfold.functions.linalg import rounded
 from skyfold.operators import cloud as pc, confidence as cf, dense as dn, mesh as ms, sparse as sp, views as vw
-from skyfold.operators.quality import gray_level  # noqa: F401 - re-exported for callers
 from skyfold.plans import adapters as ad
 from skyfold.plans.registry import query, r6
 from skyfold.session import cut_lineage

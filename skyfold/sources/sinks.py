@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def write_stage(df: DataFrame, metrics: DataFrame, path: str, key: str = "job_id") -> None:
@@ -11,11 +11,14 @@ def write_stage(df: DataFrame, metrics: DataFrame, path: str, key: str = "job_id
     replace_groups(metrics, f"{path}/metrics", key, "json")
 
 
-def replace_groups(df: DataFrame, path: str, key: str = "mission_id", fmt: str = "parquet") -> None:
-    """Replaces only the groups present in the rows; other groups stay as they are."""
-    df.repartition(key, F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(8))).write.format(fmt).partitionBy(
-        key
-    ).option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path)
+def replace_groups(df: DataFrame, path: str, key: str = "mission_id", fmt: str = "parquet", rows_per_file: int = 5_000_000) -> None:
+    """Replaces only the groups present in the rows; other groups stay as they are.
+
+    Groups are rebalanced by size: a hot one is dealt over as many tasks as its
+    bytes need, small ones share a task and have one file each.
+    """
+    writer = df.hint("rebalance", key).write.format(fmt).partitionBy(key).option("maxRecordsPerFile", rows_per_file)
+    writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path)
 
 
 def append_artifacts(df: DataFrame, path: str) -> None:

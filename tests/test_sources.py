@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyfold.sources import files as fs, sinks, telemetry as ts
 
@@ -15,6 +16,26 @@ def test_subtitles(spark, tmp_path):
     assert [(r.timestamp_sec, r.latitude, r.longitude, r.altitude) for r in rows] == [(1.5, 28.5, 77.25, 12.5), (3600.0, -3.5, 4.0, 0.0)]
 
 
+def test_clock_and_labelled_numbers(spark):
+    from skyfold.functions.text import clock_seconds, labelled_number
+
+    clocks = [("at 00:00:01,500 --> 00:00:09,000", 1.5), ("100:00:02.25", 360002.25), ("1:2:3", 3723.0), ("12:30", 0.0), ("", 0.0), (None, 0.0)]
+    rows = spark.createDataFrame(clocks, "value string, want double").select("want", clock_seconds(F.col("value")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
+    numbers = [("ALT = .5", 0.5), ("salt: 4", None), ("salt: 4 alt: -3.m", -3.0), ("abs_alt:1e3", 1000.0), ("height: 2", 2.0), ("alt: x", None), (None, None)]
+    rows = spark.createDataFrame(numbers, "value string, want double").select("want", labelled_number(F.col("value"), "height|alt").alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_replaced_groups_split_by_rows(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 900 THEN 'hot' WHEN id < 990 THEN 'warm' ELSE NULL END AS kind")
+    sinks.replace_groups(rows, str(tmp_path / "g"), "kind", rows_per_file=100)
+    assert len(list((tmp_path / "g" / "kind=hot").glob("*.parquet"))) >= 9
+    sinks.replace_groups(rows.where("kind = 'warm'").limit(5), str(tmp_path / "g"), "kind")
+    counts = {r.kind: r["count"] for r in spark.read.parquet(str(tmp_path / "g")).groupBy("kind").count().collect()}
+    assert counts == {"hot": 900, "warm": 5, None: 10}
+
+
 def test_flight_log(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Time, Lat ,lon,height,rtk_status\n1.0,28.0,77.0,5,fix\n2.0,,77.0,5,fix\n3.0,bad,77.0,5,fix\nx,28.0,77.0,5,fix\n,29.0,77.0,,\n")
     rows = ts.read_log(spark, str(tmp_path / "a.csv")).orderBy("latitude").collect()
