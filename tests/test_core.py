@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyfold.operators.asof import nearest_in_time
 from skyfold.operators.components import connected_components
+from skyfold.operators import neighbours
 from skyfold.operators.neighbours import count_within, k_nearest
 from skyfold.operators.ordered import chunked_fold, running_index, with_neighbour
 from skyfold.operators.quantiles import exact_quantiles
@@ -157,3 +158,23 @@ def test_long_chain_is_one_component(spark):
     nodes = spark.range(n).selectExpr("0 AS g", "id AS n")
     links = spark.range(n - 1).selectExpr("0 AS g", "id AS a", "id + 1 AS b")
     assert connected_components(nodes, links, ["g"], "n", "a", "b").select("component").distinct().count() == 1
+
+
+def test_a_far_point_leaves_cubes_small(spark):
+    rng = np.random.default_rng(4)
+    xyz = np.vstack([rng.uniform(0, 100, (3000, 3)), [[1e7, 0, 0]]])
+    points = cloud(spark, xyz)
+    box = neighbours._deepened(points, neighbours._box(points, ["cloud_id"], 64), ["cloud_id"], 64)
+    side, to = box.select("_side", "_to").first()
+    cells = np.floor((xyz - xyz.min(axis=0)) / (side / 2.0**to))
+    assert np.unique(cells, axis=0, return_counts=True)[1].max() <= 64
+    got = {r.point_id: [n.id for n in r.nbrs] for r in k_nearest(points, 3, tile=64).collect()}
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    assert all(sorted(d2[i, got[i]]) == sorted(np.sort(d2[i])[:3]) for i in range(len(xyz)))
+
+
+def test_copies_of_one_position_end_the_descent(spark):
+    points = cloud(spark, np.vstack([np.zeros((300, 3)), [[1.0, 0, 0]]]))
+    box = neighbours._deepened(points, neighbours._box(points, ["cloud_id"], 64), ["cloud_id"], 64)
+    assert box.first()["_to"] < neighbours.TOP
