@@ -27,6 +27,11 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _HIT = re.compile(r"[0-9@]+")
 _EDGE = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>"
 SHAPES = 1 << 16
+#: Every table of counts is scaled to this total before it is smoothed, so that weights follow shares and not the size of the corpus.
+COUNTS = 100
+#: Bound of every log weight: of a pair, and of a token's shape against any label seen. A token that no pattern covers is not a proven
+#: negative, so its shape weighs no more than this against it, and the labels of its repetitions can outweigh it at any size.
+LIMIT = 6.0
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Field:
-    """``sure``: probability from which a token's label counts; ``rounds`` of messages; ``smoothing`` of every count."""
+    """``sure``: probability from which a token's label counts; ``rounds`` of messages; ``smoothing`` of every count, per COUNTS."""
 
     sure: float = 0.9
     rounds: int = 15
@@ -151,17 +156,28 @@ def _learn(rows: DataFrame, model: Field) -> Weights:
     for table, f in ((shape, 0), (chain, 1), (skip, 2)):
         some = found[found["f"] == f]
         np.add.at(table, (some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64)), some["n"].to_numpy())
-    prior = shape.sum(axis=0) + model.smoothing
-    prior /= prior.sum()
-    shape = np.log((shape + model.smoothing * prior) / (shape.sum(axis=1, keepdims=True) + model.smoothing))
+    return _weights(shape, chain, skip, model)
+
+
+def _weights(shape: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: Field) -> Weights:
+    """Log weights from counts of shapes with labels and of pairs of labels; the same for any multiple of the counts."""
+    n = len(KINDS) + 1
+    prior = shape.sum(axis=0) / max(shape.sum(), 1)
+    known = prior > 0
+    share = shape * COUNTS / np.maximum(shape.sum(axis=1, keepdims=True), 1) + model.smoothing * prior
+    logs = np.full(shape.shape, -30.0)  # a label that no pattern gave anywhere
+    logs[:, known] = np.log(share[:, known])
+    logs[:, 1:] = np.where(known[1:], np.maximum(logs[:, 1:], logs[:, :1] - LIMIT), logs[:, 1:])
 
     def gain(t: np.ndarray) -> np.ndarray:
         """How much more often two labels stand together than by chance; both orders count alike."""
-        t = t + t.T + model.smoothing * np.outer(prior, prior) * n
-        p = t / t.sum()
-        return np.clip(np.log(p / np.outer(p.sum(axis=0), p.sum(axis=1))), -6, 6)
+        t = t + t.T
+        t = t * COUNTS / max(t.sum(), 1) + model.smoothing * np.outer(prior, prior) * n
+        p = t / max(t.sum(), 1e-300)
+        chance = np.outer(p.sum(axis=0), p.sum(axis=1))
+        return np.clip(np.log(np.divide(p, chance, out=np.ones_like(p), where=chance > 0)), -LIMIT, LIMIT)
 
-    return Weights(shape, gain(chain), gain(skip))
+    return Weights(logs, gain(chain), gain(skip))
 
 
 def marginals(graph: Graph, weights: Weights, rounds: int) -> np.ndarray:

@@ -460,6 +460,28 @@ def test_personal_data(spark, hard, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_copies_of_the_corpus_leave_every_span():
+    bare = [f"{3_000_000_000 + 7919 * i}" for i in range(400)]
+    texts = [f"call +1{b}, {b}, +1{b} today" for b in bare[:4]] + [f"call +1 {b[:3]} {b[3:]} or, tonight, +1 {b[:3]} {b[3:]}" for b in bare[4:40]]
+    texts += [f"order {b} shipped, order {b} closed" for b in bare[40:]]
+    found = [pii.base_spans(t) for t in texts]
+    graph = pii.Graph(texts, found)
+    shape, chain, skip = np.zeros((pii.SHAPES, 5)), np.zeros((5, 5)), np.zeros((5, 5))
+    label = np.array(graph.label)
+    np.add.at(shape, (graph.shape, label), 1)
+    for table, edges in ((chain, graph.chain), (skip, graph.skip)):
+        for a, b in edges:
+            table[label[a], label[b]] += 1
+
+    def added(times):
+        return pii._added(graph, texts, found, pii._weights(shape * times, chain * times, skip * times, pii.Field()), pii.Field())
+
+    once = added(1)
+    # the bare number is labelled between its own repetitions, and only there
+    assert [[(t[s:e], pii.KINDS[k]) for s, e, k in spans] for t, spans in zip(texts, once)] == [[(b, "phone")] for b in bare[:4]] + [[]] * 396
+    assert all(added(times) == once for times in (100, 10_000, 1_000_000))
+
+
 def test_messages_equal_sums_over_all_labellings():
     rng = np.random.default_rng(3)
     graph = pii.Graph(["1a 2b 3c"], [[]])
