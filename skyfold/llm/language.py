@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import byte_batches
+from skyfold.llm.common import byte_batches, frozen
 
 #: Words whose scores a task keeps before it starts anew; bounds memory, not results.
 MEMORY_WORDS = 1_000_000
@@ -31,15 +31,16 @@ def read_pieces(path: str, longest: int) -> dict[bytes, int]:
 class Training:
     """``rounds`` of expected counts (the first from uniform pieces); ``smoothing`` is added to every count.
 
-    Of more than ``sample_rows`` labelled rows the model is fitted to about that
-    many, chosen by a hash of their text; the bound keeps training at a fixed cost.
+    Each language is fitted to its ``language_rows`` distinct texts of smallest
+    hash, or to all if it has fewer, whatever its share of the rows; the bound
+    keeps training at a fixed cost.
     """
 
     longest: int = 12
     rounds: int = 2
     smoothing: float = 0.5
     max_languages: int = 500
-    sample_rows: int = 8_000
+    language_rows: int = 2_000
 
 
 @dataclass
@@ -125,21 +126,43 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _sampled(rows: DataFrame, training: Training) -> tuple[list[str], DataFrame]:
+    """The languages of rows (lang, text), and of each its ``language_rows`` distinct texts of smallest hash.
+
+    A sketch of each language's distinct texts gives a hash below which about
+    twice as many lie; the exact border is then found among those alone. A task
+    keeps one row for each text, so copies meet before they are dealt.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("lang", "text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).limit(training.max_languages + 1).collect()
+    if len(sizes) > training.max_languages:
+        raise ValueError(f"more than max_languages = {training.max_languages} languages")
+
+    def below(borders: dict[str, int]) -> DataFrame:
+        return rows.where(F.col("hash") <= F.create_map(*[F.lit(x) for pair in borders.items() for x in pair])[F.col("lang")])
+
+    if not sizes:
+        return [], rows
+    share = {r["lang"]: min(1.0, 2 * training.language_rows / max(1, r["n"])) for r in sizes}
+    some = below({k: min((1 << 63) - 1, int(v * (1 << 64)) - (1 << 63)) for k, v in share.items()}).select("lang", "hash").distinct()
+    ranked = F.array_sort(F.collect_list("hash"))
+    last = some.groupBy("lang").agg(F.element_at(F.slice(ranked, 1, training.language_rows), -1).alias("hash")).collect()
+    borders = {r["lang"]: r["hash"] for r in last}
+    return sorted(borders), below(borders).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def train(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", training: Training = Training()) -> Model:
-    """Piece probabilities of each language from a bounded sample of the labelled rows (rows without text or language teach nothing).
+    """Piece probabilities of each language from a bounded sample of its labelled rows (rows without a letter or language teach nothing).
 
     Each task sums expected piece counts per language over its words; only these
     sums, one number for each language and piece of the vocabulary, are shuffled
     and reach the driver. More than ``max_languages`` languages raise an error, as
     that bounds the model.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    names = [r["lang"] for r in rows.select("lang").distinct().limit(training.max_languages + 1).collect()]
-    if len(names) > training.max_languages:
-        raise ValueError(f"more than max_languages = {training.max_languages} languages")
-    names.sort()
-    share = min(1.0, training.sample_rows / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names, rows = _sampled(rows, training)
+    # the rows are read once for each round; what is written is bounded
+    rows = frozen(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if names else rows
     pieces = read_pieces(vocabulary, training.longest)
     model = Model(names, pieces, training.longest, np.full((len(names), len(pieces)), -np.log(len(pieces))))
     number = {n: i for i, n in enumerate(names)}

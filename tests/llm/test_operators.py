@@ -300,6 +300,23 @@ def test_language(spark, hard, empty):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in folds.items())
 
 
+def test_rare_languages_are_trained(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    words = {"aa": "stone river window", "bb": "haus wasser fenster", "cc": "каменный речной оконный"}
+    rows = [("aa", f"{words['aa']} number {'x' * (i % 7)}q{i}") for i in range(3000)] + [("aa", "one copied text")] * 3000
+    rows += [("bb", f"{words['bb']} nummer {chr(97 + i)}") for i in range(3)] + [("cc", "123 456")] * 5
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    names, sample = language._sampled(labelled, language.Training(language_rows=50))
+    taken = collections.Counter(r["lang"] for r in sample.collect())
+    assert taken == {"aa": 50, "bb": 3, "cc": 1} and sample.distinct().count() == 54
+    everything = language._sampled(labelled, language.Training(language_rows=10_000))[1]
+    assert {tuple(r) for r in everything.collect()} == set(rows)
+    model = language.train(labelled, vocabulary, training=language.Training(language_rows=50))
+    assert model.languages == ["aa", "bb"]  # no letter, nothing learnt: not a language of the model
+    some = spark.createDataFrame([(words["aa"],), (words["bb"],)], "text string")
+    assert [r["lang_pred"] for r in language.predict(some, model).collect()] == ["aa", "bb"]
+
+
 # --- 5 Jaccard join
 
 
