@@ -310,7 +310,8 @@ def _normals(spark, sf):
 
 @query("oriented_normals")
 def _(spark, sf):
-    cams = ad.cameras(spark, sf).select(F.lit(0).cast("long").alias("cloud_id"), "camera_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    cloud = F.floor(F.col("mesh_id") * ad.MESH_ROWS / ad.CLOUD_ROWS)  # a mesh's cameras look at the cloud of the same orders
+    cams = ad.cameras(spark, sf).select(cloud.alias("cloud_id"), "camera_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     return _r(pc.orient_normals(_normals(spark, sf), cams).select("point_id", "nx", "ny", "nz", "curvature"), "nx", "ny", "nz", "curvature")
 
 

@@ -213,6 +213,17 @@ def test_density_settings_and_normals(spark):
     assert math.isclose(flat.z, 0.7)
 
 
+def test_every_cloud_has_cameras(spark, tmp_path):
+    """A steep plane in the second cloud: its camera stands on the side that the fallback, up, does not choose."""
+    from skyfold.plans.catalog import QUERIES
+
+    orders = [(50_000 + i, 200 + 7 * i % 10, 50_000 * (12.5 - 1.25 * (7 * i % 10))) for i in range(22)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, 0.0), (330, 0.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = QUERIES["oriented_normals"](spark, str(tmp_path)).collect()
+    assert len(rows) == 22 and all(math.isclose(r.nx, -10 / math.sqrt(101), abs_tol=1e-3) for r in rows)
+
+
 CAM = "mesh_id long, camera_id long, R array<double>, t array<double>, cx double, cy double, cz double, fx double, fy double, px double, py double, w int, h int, quality double, sharpness double, exposure double"
 DOWN = [1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0]
 
