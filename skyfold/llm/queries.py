@@ -13,7 +13,7 @@ from skyfold.llm.common import text_of, words_of
 from skyfold.llm.exact_dedup import exact_duplicates
 from skyfold.llm.jaccard_join import jaccard_groups
 from skyfold.llm.language import fold, predict, train
-from skyfold.llm.lm_scoring import lm_scores
+from skyfold.llm.lm_scoring import word_lm_scores
 from skyfold.llm.mixing import mixing_counts
 from skyfold.llm.pii import KINDS, find_personal_data
 from skyfold.llm.quality import quality_verdicts
@@ -104,8 +104,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scores(documents(spark, sf_dir).select("doc_id", "text"))
-    return scored.select("doc_id", "n_chars_scored", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 9).alias("mean_log_score"))
+    scored = word_lm_scores(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "n_words_scored", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 9).alias("mean_log_score"))
 
 
 @query

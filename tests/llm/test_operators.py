@@ -547,6 +547,40 @@ def test_lm_scores(spark, hard, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def plain_word_scores(texts, factor):
+    lists = [words(t) for t in texts]
+    per = [collections.Counter(tuple(t[a : a + n]) for n in (1, 2, 3) for a in range(len(t) - n + 1)) for t in lists]
+    total = sum(per, collections.Counter())
+    size = sum(map(len, lists))
+    out = []
+    for t, own in zip(lists, per):
+        s = 0.0
+        for k, w in enumerate(t):
+            h = tuple(t[max(0, k - 2) : k])
+            while h and total[h + (w,)] == own[h + (w,)]:
+                h, s = h[1:], s + math.log(factor)
+            n = total[h + (w,)] - own[h + (w,)]
+            s += math.log(n / (total[h] - own[h])) if h else math.log(max(n, 1) / max(size - len(t), 1))
+        out.append(s)
+    return out
+
+
+def test_word_lm_scores(spark, hard, empty):
+    order = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(3)] + [(9, "mat the on sat cat the"), (10, "🎉 🎊"), (11, "🎉 🎉")], "doc_id long, text string")
+    for docs, bits in ((hard, 30), (hard, 1), (order, 30), (spark.read.parquet(f"{SF}/documents.parquet").limit(60), 30)):
+        rows = lm_scoring.word_lm_scores(docs, model=lm_scoring.WordBackoff(most_bits=bits)).collect()
+        assert len(rows) == docs.count()
+        texts = [r["text"] or "" for r in rows]
+        for r, t, s in zip(rows, texts, plain_word_scores(texts, 0.4)):
+            assert r["n_words_scored"] == len(words(t))
+            assert r["log_score"] == pytest.approx(s, abs=1e-6 * max(1, abs(s)))
+            assert (r["mean_log_score"] is None) == (not words(t))
+    found = {r["doc_id"]: r["mean_log_score"] for r in lm_scoring.word_lm_scores(order).collect()}
+    assert found[9] < found[0] - 1  # the same words shuffled are far from fluent
+    assert lm_scoring.word_lm_scores(empty).count() == 0
+    assert "n_words_scored" in queries.op9_lm_scoring(spark, SF).columns
+
+
 # --- sketch and pipeline
 
 
