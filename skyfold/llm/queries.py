@@ -19,6 +19,7 @@ from skyfold.llm.pii import KINDS, find_personal_data
 from skyfold.llm.quality import quality_verdicts
 from skyfold.llm.sharding import byte_shards, utf8_size
 from skyfold.llm.substring_dedup import substring_dedup
+from skyfold.llm.whitening import fit, identity_error, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -112,3 +113,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", sha256(F.col("normal_text")).alias("text_sha256"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is NULL beyond a long, then see ``deviation_exact``."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = fit(rows, "embedding")
+    found = whiten(rows, "embedding", model)
+    shares = F.array(*[F.lit(e) for e in (model.explained if model else [])[:32]]).cast("array<double>")
+    parts = found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return parts.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(identity_error(found)).alias("identity_error"),
+        F.col("deviation").alias("deviation_exact"),
+    )
