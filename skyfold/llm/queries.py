@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from skyfold.llm.bpe import bpe_decode, bpe_encode
-from skyfold.llm.common import text_of, words_of
+from skyfold.llm.common import frozen, text_of, words_of
 from skyfold.llm.exact_dedup import exact_duplicates
 from skyfold.llm.jaccard_join import jaccard_groups
 from skyfold.llm.language import fold, predict, train
 from skyfold.llm.lm_scoring import word_lm_scores
 from skyfold.llm.mixing import mixing_counts
 from skyfold.llm.pii import KINDS, find_personal_data
+from skyfold.llm.prefix_trie import grafted_turns, prefix_trie, ranked_turns
 from skyfold.llm.quality import quality_verdicts
 from skyfold.llm.sharding import byte_shards, utf8_size
 from skyfold.llm.substring_dedup import substring_dedup
@@ -133,3 +134,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(identity_error(found)).alias("identity_error"),
         F.col("deviation").alias("deviation_exact"),
     )
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = frozen(ranked_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    turns, convs = grafted_turns(ranked, F.col("conv_id") - F.col("conv_id") % 5, head, 8)
+    return prefix_trie(turns, convs)
