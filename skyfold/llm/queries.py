@@ -20,6 +20,7 @@ from skyfold.llm.prefix_trie import grafted_turns, prefix_trie, ranked_turns
 from skyfold.llm.quality import quality_verdicts
 from skyfold.llm.sharding import byte_shards, utf8_size
 from skyfold.llm.substring_dedup import substring_dedup
+from skyfold.llm.suffix_dedup import suffix_dedup
 from skyfold.llm.whitening import fit, identity_error, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +137,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = frozen(ranked_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
