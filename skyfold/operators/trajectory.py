@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyfold.functions import geodesy as geo, linalg as la
 from skyfold.functions.linalg import clip, rounded
 from skyfold.operators.asof import nearest_in_time
-from skyfold.operators.ordered import chunked_fold
+from skyfold.operators.ordered import with_neighbour
+from skyfold.operators.scans import chunked_scan
 
 CHUNK_ROWS = 20_000
 
@@ -71,33 +71,53 @@ def nominal_step(altitude: Column) -> Column:
     return F.greatest(F.lit(0.5), altitude * 0.08)
 
 
+def prefix_motions(rots: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the first, the first two, ... rigid motions (R, t), later ones applied after earlier ones."""
+    r, t, step = rots.copy(), shifts.copy(), 1
+    while step < len(r):
+        late, early = r[step:], slice(0, len(r) - step)
+        t[step:] = np.einsum("nij,nj->ni", late, t[early]) + t[step:]
+        r[step:] = late @ r[early]
+        step *= 2
+    return r, t
+
+
+def _motions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rots = np.array(pdf["rel_R"].tolist(), float).reshape(-1, 3, 3)
+    shifts = np.array(pdf["rel_t"].tolist(), float).reshape(-1, 3) * pdf["step_m"].to_numpy(float)[:, None]
+    if pdf["is_start"].iloc[0]:
+        rots[0], shifts[0] = np.eye(3), 0.0
+    return prefix_motions(rots, shifts)
+
+
+def join_motions(a: list[float], b: list[float]) -> list[float]:
+    ra, rb = np.array(a[:9]).reshape(3, 3), np.array(b[:9]).reshape(3, 3)
+    return [*(rb @ ra).ravel(), *(rb @ np.array(a[9:]) + np.array(b[9:]))]
+
+
 def chain_poses(relative: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """World poses from relative ones, in index order per mission.
+    """World poses from relative ones, in index order per mission; jobs run here.
 
     Input ``mission_id, camera_index, rel_R[9], rel_t[3], step_m``; the relative
-    pose of the first camera is ignored. Output R, t and the centre -R't.
+    pose of the first camera is ignored. Output R, t and the centre -R't. Rigid
+    motions are a group, so a chunk's product is all that later chunks need.
     """
 
-    def step(pdf: pd.DataFrame, text: str | None) -> tuple[pd.DataFrame, str]:
-        state = json.loads(text) if text else None
-        r, t = (np.array(state["R"]).reshape(3, 3), np.array(state["t"])) if state else (np.eye(3), np.zeros(3))
-        fresh = state is None
-        rots, shifts, centres = [], [], []
-        for row in pdf.itertuples(index=False):
-            if not fresh:
-                rel = np.asarray(row.rel_R, dtype=float).reshape(3, 3)
-                t = rel @ t + np.asarray(row.rel_t, dtype=float) * row.step_m
-                r = rel @ r
-            fresh = False
-            rots.append(r.ravel().tolist())
-            shifts.append(t.tolist())
-            centres.append((-r.T @ t).tolist())
-        out = pdf[["mission_id", "camera_index"]].assign(R=rots, t=shifts, c=centres)
-        return out, json.dumps({"R": r.ravel().tolist(), "t": t.tolist()})
-
-    return chunked_fold(
+    def summarise(pdf: pd.DataFrame, before) -> list[float]:
+        r, t = _motions(pdf)
+        return [*r[-1].ravel(), *t[-1]]
+
+    def emit(pdf: pd.DataFrame, before) -> pd.DataFrame:
+        r, t = _motions(pdf)
+        if before is not None:
+            t = np.einsum("nij,j->ni", r, np.array(before[9:])) + t
+            r = r @ np.array(before[:9]).reshape(3, 3)
+        centres = -np.einsum("nji,nj->ni", r, t)
+        return pdf[["mission_id", "camera_index"]].assign(R=list(r.reshape(-1, 9)), t=list(t), c=list(centres))
+
+    return chunked_scan(
         relative.select("mission_id", "camera_index", "rel_R", "rel_t", "step_m"),
-        ["mission_id"], ["camera_index"], F.floor(F.col("camera_index") / chunk_rows), step,
+        ["mission_id"], ["camera_index"], F.floor(F.col("camera_index") / chunk_rows), summarise, join_motions, emit,
         "mission_id bigint, camera_index bigint, R array<double>, t array<double>, c array<double>",
     )
 
@@ -186,112 +206,252 @@ POS_NOISE, VEL_NOISE, VISUAL_NOISE = 0.1, 0.5, 0.25
 GATE_WARM, GATE_STEADY, WARM_STEPS = 60.0, 16.27, 2
 
 
-def _transition(dt: float) -> np.ndarray:
-    f = np.eye(6)
-    f[0, 3] = f[1, 4] = f[2, 5] = dt
-    return f
+# The model treats the three axes alike, so one covariance (of position, of position with velocity, of velocity)
+# holds for each axis; a state is three positions, three velocities and these three numbers.
+
+
+def _predict(x: list[float], p: tuple, dt: float) -> tuple[list[float], tuple]:
+    a, b, c = p
+    moved = [x[0] + dt * x[3], x[1] + dt * x[4], x[2] + dt * x[5], x[3], x[4], x[5]]
+    return moved, (a + dt * (b + b) + dt * dt * c + POS_NOISE**2 * dt, b + dt * c, c + VEL_NOISE**2 * dt)
+
+
+def _update(x: list[float], p: tuple, z, var: float) -> tuple[list[float], tuple, float]:
+    a, b, c = p
+    total = a + var
+    gain, drift = a / total, b / total
+    gap = [z[i] - x[i] for i in range(3)]
+    near = [x[i] + gain * gap[i] for i in range(3)] + [x[i + 3] + drift * gap[i] for i in range(3)]
+    return near, (a - gain * a, b - gain * b, c - drift * b), sum(g * g for g in gap) / total
+
 
+def _visual_var(inliers: float) -> float:
+    return (VISUAL_NOISE * (1.0 + 30.0 / max(1, inliers))) ** 2
 
-def filter_step(state: dict | None, t: float, visual, gps, sigma: float, inliers: float, first_velocity) -> tuple[dict, dict]:
+
+def first_state(visual, gps, velocity) -> tuple[list[float], tuple]:
+    return [float(v) for v in (visual if gps is None else gps)] + [float(v) for v in velocity], (10.0, 0.0, 50.0)
+
+
+def filter_step(state: dict | None, t: float, visual, gps, sigma: float, inliers: float, first_velocity, dt: float | None = None) -> tuple[dict, dict]:
     """One predict and update of the position/velocity filter.
 
     Returns the new state and the record of this station. A position fix that
-    is too far from the prediction is rejected and counted.
+    is too far from the prediction is rejected and counted. ``dt`` is the time
+    since the last station, if it is known already.
     """
-    visual = np.asarray(visual, dtype=float)
-    gps = None if gps is None else np.asarray(gps, dtype=float)
     if state is None:
-        x = np.concatenate([visual if gps is None else gps, np.asarray(first_velocity, dtype=float)])
-        p = np.diag([10.0] * 3 + [50.0] * 3)
-        new = {"k": 0, "t": t, "x": x.tolist(), "P": p.ravel().tolist()}
-        return new, {"x": x, "P": p, "xp": x, "Pp": p, "rejected": False}
+        x, p = first_state(visual, gps, first_velocity)
+        return {"k": 0, "t": t, "x": x, "P": p}, {"x": x, "P": p, "xp": x, "Pp": p, "rejected": False}
     k = state["k"] + 1
-    dt = max(0.01, t - state["t"])
-    f = _transition(dt)
-    q = np.diag([POS_NOISE**2 * dt] * 3 + [VEL_NOISE**2 * dt] * 3)
-    xp = f @ np.array(state["x"])
-    pp = f @ np.array(state["P"]).reshape(6, 6) @ f.T + q
-
-    def update(x, p, z, r):
-        inv = np.linalg.inv(p[:3, :3] + np.eye(3) * r * r)
-        gap = z - x[:3]
-        gain = p[:, :3] @ inv
-        return x + gain @ gap, p - gain @ p[:3, :], float(gap @ inv @ gap)
-
-    x, p, _ = update(xp, pp, visual, VISUAL_NOISE * (1.0 + 30.0 / max(1, inliers)))
+    xp, pp = _predict(state["x"], state["P"], max(0.01, t - state["t"]) if dt is None else dt)
+    x, p, _ = _update(xp, pp, visual, _visual_var(inliers))
     rejected = False
     if gps is not None:
-        gx, gp, far = update(x, p, gps, sigma)
-        if far <= (GATE_WARM if k <= WARM_STEPS else GATE_STEADY):
+        gx, gp, far = _update(x, p, gps, sigma * sigma)
+        rejected = not far <= (GATE_WARM if k <= WARM_STEPS else GATE_STEADY)
+        if not rejected:
             x, p = gx, gp
-        else:
-            rejected = True
-    return {"k": k, "t": t, "x": x.tolist(), "P": p.ravel().tolist()}, {"x": x, "P": p, "xp": xp, "Pp": pp, "rejected": rejected}
+    return {"k": k, "t": t, "x": x, "P": p}, {"x": x, "P": p, "xp": xp, "Pp": pp, "rejected": rejected}
 
 
 def _vector(value):
     return None if value is None or (isinstance(value, float) and np.isnan(value)) else value
 
 
+class _Element:
+    """What a run of stations makes of an unknown entering state (x, P).
+
+    Given that state, the state after the run has mean A x + b and covariance C per
+    axis; eta and J are what its measurements tell about x. Appending a station
+    costs no more than a filter step.
+    """
+
+    def __init__(self):
+        self.a = [1.0, 0.0, 0.0, 1.0]
+        self.b, self.c = [0.0] * 6, (0.0, 0.0, 0.0)
+        self.eta, self.j = [0.0] * 6, [0.0] * 3
+
+    def predict(self, dt: float) -> None:
+        a = self.a
+        self.a = [a[0] + dt * a[2], a[1] + dt * a[3], a[2], a[3]]
+        self.b, self.c = _predict(self.b, self.c, dt)
+
+    def update(self, z, var: float) -> None:
+        a, total = self.a, self.c[0] + var
+        gap = [(z[i] - self.b[i]) / total for i in range(3)]
+        for i in range(3):
+            self.eta[i] += a[0] * gap[i]
+            self.eta[i + 3] += a[1] * gap[i]
+        self.j = [self.j[0] + a[0] * a[0] / total, self.j[1] + a[0] * a[1] / total, self.j[2] + a[1] * a[1] / total]
+        gain, drift = self.c[0] / total, self.c[1] / total
+        self.a = [a[0] - gain * a[0], a[1] - gain * a[1], a[2] - drift * a[0], a[3] - drift * a[1]]
+        self.b, self.c, _ = _update(self.b, self.c, z, var)
+
+    def packed(self) -> list[float]:
+        return [*self.a, *self.b, *self.c, *self.eta, *self.j]
+
+
+def _symmetric(v) -> np.ndarray:
+    return np.array([[v[0], v[1]], [v[1], v[2]]])
+
+
+def _parts(e: list[float]) -> tuple:
+    return np.array(e[:4]).reshape(2, 2), np.array(e[4:10]).reshape(2, 3), _symmetric(e[10:13]), np.array(e[13:19]).reshape(2, 3), _symmetric(e[19:22])
+
+
+def join_filters(first: list[float], second: list[float]) -> list[float]:
+    """The element of two runs of stations, one after the other."""
+    a1, b1, c1, eta1, j1 = _parts(first)
+    a2, b2, c2, eta2, j2 = _parts(second)
+    back = a2 @ np.linalg.inv(np.eye(2) + c1 @ j2)
+    ahead = a1.T @ np.linalg.inv(np.eye(2) + j2 @ c1)
+    c = back @ c1 @ a2.T + c2
+    j = ahead @ j2 @ a1 + j1
+    b, eta = back @ (b1 + c1 @ eta2) + b2, ahead @ (eta2 - j2 @ b1) + eta1
+    return [*(back @ a1).ravel(), *b.ravel(), c[0, 0], (c[0, 1] + c[1, 0]) / 2, c[1, 1], *eta.ravel(), j[0, 0], (j[0, 1] + j[1, 0]) / 2, j[1, 1]]
+
+
+def _entered(before: list[float] | None) -> tuple[list[float], tuple] | None:
+    return None if before is None else (list(before[4:10]), tuple(before[10:13]))
+
+
+def _stations(pdf: pd.DataFrame):
+    cells = zip(pdf["idx"].tolist(), pdf["t"].tolist(), pdf["dt"].tolist(), pdf["visual"], pdf["gps"], pdf["sigma"].tolist(), pdf["inliers"].tolist(), pdf["velocity"], strict=True)
+    for idx, t, dt, visual, gps, sigma, inliers, velocity in cells:
+        gps = _vector(gps)
+        yield idx, t, dt, [float(v) for v in visual], None if gps is None else [float(v) for v in gps], sigma, inliers, _vector(velocity)
+
+
+def _run_filter(pdf: pd.DataFrame, before: list[float] | None, record) -> None:
+    """Filter steps from what enters; a later chunk that does not know it yet starts at its first visual position."""
+    entered = _entered(before)
+    state = None
+    for idx, t, dt, visual, gps, sigma, inliers, velocity in _stations(pdf):
+        if state is None and not pdf["is_start"].iloc[0]:
+            x, p = entered or first_state(visual, None, [0.0] * 3)
+            state = {"k": idx - 1, "x": x, "P": p}
+        state, made = filter_step(state, t, visual, gps, sigma, inliers, velocity if velocity is not None else [0.0] * 3, dt)
+        record(dt, visual, gps, sigma, inliers, made)
+
+
+def filter_element(pdf: pd.DataFrame, before: list[float] | None) -> list[float]:
+    """The element of a chunk's stations, with fixes refused as a run from ``before`` refuses them."""
+    if pdf["is_start"].iloc[0]:
+        last = {}
+        _run_filter(pdf, None, lambda *made: last.update(made[-1]))
+        return [0.0] * 4 + [*last["x"], *last["P"]] + [0.0] * 9
+    element = _Element()
+
+    def append(dt, visual, gps, sigma, inliers, made) -> None:
+        element.predict(dt)
+        element.update(visual, _visual_var(inliers))
+        if gps is not None and not made["rejected"]:
+            element.update(gps, sigma * sigma)
+
+    _run_filter(pdf, before, append)
+    return element.packed()
+
+
+def filter_rows(pdf: pd.DataFrame, before: list[float] | None) -> pd.DataFrame:
+    out = {n: [] for n in ("x", "P", "xp", "Pp", "rejected")}
+
+    def append(dt, visual, gps, sigma, inliers, made) -> None:
+        for n in out:
+            out[n].append(made[n] if n == "rejected" else list(made[n]))
+
+    _run_filter(pdf, before, append)
+    return pdf[["mission_id", "idx", "t", "inliers"]].assign(has_gps=[_vector(g) is not None for g in pdf["gps"]], **out)
+
+
+def same_state(old: list[float] | None, new: list[float]) -> bool:
+    """Whether two entering states differ by rounding only."""
+    return old is not None and bool(np.allclose(old[4:13], new[4:13], rtol=1e-12, atol=1e-11))
+
+
 def forward_filter(stations: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Forward filter over ``mission_id, idx, t, visual[3], gps[3] or NULL, fix_type, inliers``."""
+    """Forward filter over ``mission_id, idx (0, 1, 2, ...), t, visual[3], gps[3] or NULL, fix_type, inliers``; jobs run here.
+
+    Chunks become filter elements, composed along the mission. Which fixes a chunk
+    refuses is guessed by a run from its own first station, checked by a run from
+    the composed state, and composed again where the guess was wrong. Output: x (3
+    positions, 3 velocities) and P (variance of a position, covariance with its
+    velocity, variance of a velocity; the same on each axis), both also as predicted
+    (xp, Pp); equal to the sequential run up to rounding.
+    """
+    chunk = F.floor(F.col("idx") / chunk_rows)
     second = stations.where("idx = 1").select("mission_id", F.col("t").alias("_t1"), F.col("visual").alias("_v1"))
     gap = F.greatest(F.lit(0.01), F.col("_t1") - F.col("t"))
     velocity = F.when(
         F.col("_t1").isNotNull(), F.array(*[(F.col("_v1")[i] - F.col("visual")[i]) / gap for i in range(3)])
     ).otherwise(F.array(*[F.lit(0.0)] * 3))
-    rows = stations.join(second, "mission_id", "left").select(
+    rows = with_neighbour(stations, ["mission_id"], ["idx"], chunk, ["t"], "_prev").join(second, "mission_id", "left").select(
         "mission_id", "idx", "t", "visual", "gps", "inliers",
+        F.coalesce(F.greatest(F.lit(0.01), F.col("t") - F.col("_prev.t")), F.lit(0.01)).alias("dt"),
         fix_sigma(F.col("fix_type")).alias("sigma"), F.when(F.col("idx") == 0, velocity).alias("velocity"),
     )
-
-    def step(pdf: pd.DataFrame, text: str | None) -> tuple[pd.DataFrame, str]:
-        state = json.loads(text) if text else None
-        out = {n: [] for n in ("x", "P", "xp", "Pp", "rejected")}
-        for row in pdf.itertuples(index=False):
-            first = _vector(row.velocity)
-            state, record = filter_step(
-                state, row.t, row.visual, _vector(row.gps), row.sigma, row.inliers, first if first is not None else np.zeros(3)
-            )
-            for n in ("x", "P", "xp", "Pp"):
-                out[n].append(record[n].ravel().tolist())
-            out["rejected"].append(record["rejected"])
-        keep = pdf[["mission_id", "idx", "t", "inliers"]].assign(
-            has_gps=[_vector(g) is not None for g in pdf["gps"]], **out)
-        return keep, json.dumps(state)
-
-    return chunked_fold(
-        rows, ["mission_id"], ["idx"], F.floor(F.col("idx") / chunk_rows), step,
+    return chunked_scan(
+        rows, ["mission_id"], ["idx"], chunk, filter_element, join_filters, filter_rows,
         "mission_id bigint, idx bigint, t double, inliers bigint, has_gps boolean, x array<double>, P array<double>, "
-        "xp array<double>, Pp array<double>, rejected boolean",
+        "xp array<double>, Pp array<double>, rejected boolean", settled=same_state,
     )
 
 
+def _smoothers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """E, g, L of every station, latest first: the smoothed state is E s + g and E S E' + L of the next station's (s, S)."""
+    x = np.array(pdf["x"].tolist(), float).reshape(-1, 2, 3)
+    p = np.array(pdf["P"].tolist(), float)
+    dt = pdf["dt_next"].to_numpy(float)
+    last = np.isnan(dt)
+    dt = np.where(last, 1.0, dt)
+    cov = np.stack([p[:, [0, 1]], p[:, [1, 2]]], axis=1)
+    f = np.zeros_like(cov)
+    f[:, 0, 0] = f[:, 1, 1] = 1.0
+    f[:, 0, 1] = dt
+    noise = np.zeros_like(cov)
+    noise[:, 0, 0], noise[:, 1, 1] = POS_NOISE**2 * dt, VEL_NOISE**2 * dt
+    pred = f @ cov @ f.transpose(0, 2, 1) + noise
+    gain = cov @ f.transpose(0, 2, 1) @ np.linalg.inv(pred)
+    gain[last] = 0.0
+    return gain, x - gain @ (f @ x), cov - gain @ pred @ gain.transpose(0, 2, 1)
+
+
+def join_smoothers(later: list[float], earlier: list[float]) -> list[float]:
+    ea, eb = (np.array(e[:4]).reshape(2, 2) for e in (later, earlier))
+    ga, gb = (np.array(e[4:10]).reshape(2, 3) for e in (later, earlier))
+    c = eb @ _symmetric(later[10:13]) @ eb.T + _symmetric(earlier[10:13])
+    return [*(eb @ ea).ravel(), *(eb @ ga + gb).ravel(), c[0, 0], c[0, 1], c[1, 1]]
+
+
+def smoother_element(pdf: pd.DataFrame, before) -> list[float]:
+    gain, mean, cov = _smoothers(pdf)
+    whole, g, c = gain[0], mean[0], cov[0]
+    for e, m, v in zip(gain[1:], mean[1:], cov[1:], strict=True):
+        whole, g, c = e @ whole, e @ g + m, e @ c @ e.T + v
+    return [*whole.ravel(), *g.ravel(), c[0, 0], c[0, 1], c[1, 1]]
+
+
+def smoother_rows(pdf: pd.DataFrame, before: list[float] | None) -> pd.DataFrame:
+    gain, mean, cov = _smoothers(pdf)
+    g, c = (np.zeros((2, 3)), np.zeros((2, 2))) if before is None else (np.array(before[4:10]).reshape(2, 3), _symmetric(before[10:13]))
+    positions, traces = [], []
+    for e, m, v in zip(gain, mean, cov, strict=True):
+        g, c = e @ g + m, e @ c @ e.T + v
+        positions.append(g[0].tolist())
+        traces.append(3.0 * float(c[0, 0]))
+    return pdf[["mission_id", "idx", "t", "inliers", "has_gps", "rejected"]].assign(fused=positions, cov_trace=traces)
+
+
 def smooth_backward(filtered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Backward smoothing of a filtered track; same tables, run from the end."""
-
-    def step(pdf: pd.DataFrame, text: str | None) -> tuple[pd.DataFrame, str]:
-        later = json.loads(text) if text else None
-        positions, traces = [], []
-        for row in pdf.itertuples(index=False):
-            x, p = np.array(row.x), np.array(row.P).reshape(6, 6)
-            if later is not None:
-                f = _transition(max(0.01, later["t"] - row.t))
-                pred = np.array(later["Pp"]).reshape(6, 6)
-                try:
-                    gain = p @ f.T @ np.linalg.inv(pred)
-                    x = x + gain @ (np.array(later["x"]) - np.array(later["xp"]))
-                    p = p + gain @ (np.array(later["P"]).reshape(6, 6) - pred) @ gain.T
-                except np.linalg.LinAlgError:
-                    pass
-            later = {"t": row.t, "x": x.tolist(), "P": p.ravel().tolist(), "xp": list(row.xp), "Pp": list(row.Pp)}
-            positions.append(x[:3].tolist())
-            traces.append(float(np.trace(p[:3, :3])))
-        out = pdf[["mission_id", "idx", "t", "inliers", "has_gps", "rejected"]].assign(fused=positions, cov_trace=traces)
-        return out, json.dumps(later)
-
-    smoothed = chunked_fold(
-        filtered, ["mission_id"], ["idx"], F.floor(F.col("idx") / chunk_rows), step,
+    """Backward smoothing of a filtered track, as affine maps composed from the end; jobs run here."""
+    chunk = F.floor(F.col("idx") / chunk_rows)
+    rows = with_neighbour(filtered, ["mission_id"], ["idx"], chunk, ["t"], "_next", following=True)
+    rows = rows.withColumn("dt_next", F.greatest(F.lit(0.01), F.col("_next.t") - F.col("t"))).withColumn(
+        "dt_next", F.when(F.col("_next").isNotNull(), F.col("dt_next"))
+    )
+    smoothed = chunked_scan(
+        rows.select("mission_id", "idx", "t", "inliers", "has_gps", "rejected", "x", "P", "dt_next"),
+        ["mission_id"], ["idx"], chunk, smoother_element, join_smoothers, smoother_rows,
         "mission_id bigint, idx bigint, t double, inliers bigint, has_gps boolean, rejected boolean, "
         "fused array<double>, cov_trace double", descending=True,
     )

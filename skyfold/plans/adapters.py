@@ -300,4 +300,4 @@ CTE: dict[str, str] = {
 def with_tables(names: str, body: str) -> str:
     """``body`` preceded by the named survey tables."""
     ctes = ", ".join(f"{n} AS ({CTE[n]})" for n in names.split())
-    return f"WITH {ctes} {body}" if not body.lstrip().startswith(",") else f"WITH {ctes} {body.lstrip()}"
+    return f"WITH RECURSIVE {ctes} {body.lstrip()}"

@@ -223,8 +223,11 @@ def _(spark, sf):
 
 
 def _relative(spark, sf):
+    return _turned(_indexed(spark, sf))
+
+
+def _turned(s):
     """Relative poses: a turn about the vertical axis and a unit shift per keyframe."""
-    s = _indexed(spark, sf)
     a = F.radians(F.col("visual")[1] * 0.7130123)
     rot = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return s.select(
@@ -233,30 +236,126 @@ def _relative(spark, sf):
     )
 
 
-@query("pose_chain")
+# Turns about one axis add up, so a camera's centre is a sum over the turns before it.
+_CHAIN = """, tu AS (SELECT *, CASE WHEN camera_index=0 THEN 0e0 ELSE a END a0, CASE WHEN camera_index=0 THEN 0e0 ELSE 4e0 END st FROM an),
+ th AS (SELECT *, sum(a0) OVER (PARTITION BY mission_id ORDER BY camera_index) h FROM tu),
+ ce AS (SELECT mission_id, camera_index, sum(-0.6e0*st*cos(h)) OVER w c0, sum(0.6e0*st*sin(h)) OVER w c1, sum(-0.8e0*st) OVER w c2 FROM th WINDOW w AS (PARTITION BY mission_id ORDER BY camera_index)) """
+
+
+def _centres(chain):
+    return chain.select("mission_id", "camera_index", *[rounded(F.col("c")[i] + 1e-7, 3).alias(f"c{i}") for i in range(3)])
+
+
+_CENTRES = "SELECT mission_id, camera_index, " + ", ".join(f"{r6(f'c{i}+1e-7::DOUBLE', 3)} c{i}" for i in range(3)) + " FROM ce"
+
+
+@query("pose_chain", "keyframes telemetry", _STATIONS + ", an AS (SELECT mission_id, idx camera_index, radians(vy*0.7130123e0) a FROM sv)" + _CHAIN + _CENTRES)
 def _(spark, sf):
-    return tr.chain_poses(_relative(spark, sf)).select(
-        "mission_id", "camera_index", *[rounded(F.col("c")[i], 3).alias(f"c{i}") for i in range(3)]
+    return _centres(tr.chain_poses(_relative(spark, sf)))
+
+
+#: Rows of a chunk in the queries over long tracks, so that their missions have many chunks on the test tables too.
+LONG_CHUNK = 64
+
+
+def _long_track(spark, sf):
+    """Three missions that share all keyframes, with fixes near their path and some far off."""
+    rows = ad.keyframes(spark, sf).select((F.col("mission_id") % 3).alias("mission_id"), "keyframe_id", "t", "inliers", "value")
+    placed = running_index(rows, ["mission_id"], ["t", "keyframe_id"], F.floor(F.col("t") / 86400), "idx")
+    visual = [F.col("idx") * 1.5, F.col("value") / 10, F.sqrt("value")]
+    k = F.col("keyframe_id")
+    off = (k % 7 - 3) * 0.1 + F.when(k % 11 == 0, 50.0).otherwise(0.0)
+    kind = F.when(k % 3 == 0, "RTK_FIXED").when(k % 3 == 1, "RTK_FLOAT").otherwise("STANDALONE_GPS")
+    return placed.select(
+        "mission_id", "idx", "t", "inliers", kind.alias("fix_type"),
+        F.when(k % 5 != 0, F.array(*[v + off for v in visual])).alias("gps"), F.array(*visual).alias("visual"),
     )
 
 
+_LONG = """, kx AS (SELECT mission_id%3 mission_id, keyframe_id k, t, inliers, value, row_number() OVER (PARTITION BY mission_id%3 ORDER BY t, keyframe_id)-1 idx FROM keyframes),
+ ky AS (SELECT *, idx*1.5e0 vx, value/10 vy, sqrt(value) vz, (k%7-3)*0.1e0+CASE WHEN k%11=0 THEN 50e0 ELSE 0e0 END o FROM kx),
+ sv AS (SELECT mission_id, idx, t, inliers, CASE WHEN k%5<>0 THEN k END fix_id, CASE k%3 WHEN 0 THEN 'RTK_FIXED' WHEN 1 THEN 'RTK_FLOAT' ELSE 'STANDALONE_GPS' END fix_type,
+ vx, vy, vz, vx+o ge, vy+o gn, vz+o gu FROM ky) """
+
+
+@query("long_pose_chain", "keyframes", _LONG + ", an AS (SELECT mission_id, idx camera_index, radians(vy*0.7130123e0) a FROM sv)" + _CHAIN + _CENTRES)
+def _(spark, sf):
+    return _centres(tr.chain_poses(_turned(_long_track(spark, sf)), LONG_CHUNK))
+
+
 @query("relative_orientation", "keyframes telemetry", _STATIONS + f", a AS (SELECT mission_id, idx camera_index, radians(vy*0.7130123e0) a FROM sv) SELECT mission_id, camera_index, {r6('degrees(a)',2)} yaw_deg, 0e0 pitch_deg, 0e0 roll_deg, {r6('cos(a/2)',5)} qw, 0e0 qx, 0e0 qy, {r6('sin(a/2)',5)} qz FROM a")
 def _(spark, sf):
     out = tr.orientation(_relative(spark, sf).withColumn("R", F.col("rel_R")))
     return out.select("mission_id", "camera_index", "yaw_deg", "pitch_deg", "roll_deg", *[F.col("quaternion")[i].alias(f"q{c}") for i, c in enumerate("wxyz")])
 
 
-@query("trajectory_fusion")
+_XV = ("x0", "x1", "x2", "v0", "v1", "v2")
+_POS = ("x0", "x1", "x2")
+
+
+def _kalman(z, var):
+    """The columns of one update, of a subquery with a state, a fix ``z`` and its variance."""
+    gap = {i: f"({z[i]}-x{i})" for i in range(3)}
+    near = [f"x{i}+a/(a+{var})*{gap[i]} u{i}, v{i}+b/(a+{var})*{gap[i]} w{i}" for i in range(3)]
+    far = "+".join(f"{gap[i]}*{gap[i]}" for i in range(3))
+    return f"{', '.join(near)}, a-a/(a+{var})*a ua, b-a/(a+{var})*b ub, c-b/(a+{var})*b uc, ({far})/(a+{var}) far"
+
+
+# Forward and backward, one station after the other; the covariance is the same on each axis.
+_FUSION = f""", sm AS MATERIALIZED (SELECT mission_id, idx, t, inliers, fix_id IS NOT NULL has_gps, vx z0, vy z1, vz z2, ge g0, gn g1, gu g2, pow(0.25e0*(1+30e0/greatest(1,inliers)),2) vv,
+ pow(CASE WHEN fix_type LIKE '%FIX%' THEN 0.02e0 WHEN fix_type LIKE '%FLOAT%' THEN 0.2e0 ELSE 2.5e0 END,2) gv FROM sv),
+ fw AS (SELECT s.mission_id, s.idx, s.t, s.inliers, s.has_gps, {", ".join(f"CASE WHEN s.has_gps THEN s.g{i} ELSE s.z{i} END x{i}" for i in range(3))},
+ {", ".join(f"coalesce((n.z{i}-s.z{i})/greatest(0.01e0,n.t-s.t),0e0) v{i}" for i in range(3))}, 10e0 a, 0e0 b, 50e0 c, false rejected,
+ {", ".join(f"0e0 p{c}" for c in _XV)}, 0e0 pa, 0e0 pb, 0e0 pc, 0e0 dt FROM sm s LEFT JOIN sm n ON n.mission_id=s.mission_id AND n.idx=1 WHERE s.idx=0
+ UNION ALL SELECT mission_id, idx, t, inliers, has_gps, {", ".join(f"CASE WHEN ok THEN u{i} ELSE x{i} END" for i in range(3))}, {", ".join(f"CASE WHEN ok THEN w{i} ELSE v{i} END" for i in range(3))},
+ CASE WHEN ok THEN ua ELSE a END, CASE WHEN ok THEN ub ELSE b END, CASE WHEN ok THEN uc ELSE c END, has_gps AND NOT ok, {", ".join(f"p{c}" for c in _XV)}, pa, pb, pc, dt FROM (
+ SELECT *, has_gps AND far<=CASE WHEN idx<=2 THEN 60e0 ELSE 16.27e0 END ok FROM (SELECT *, {_kalman(("g0", "g1", "g2"), "gv")} FROM (
+ SELECT * EXCLUDE ({", ".join(_XV)}, a, b, c, u0, u1, u2, w0, w1, w2, ua, ub, uc, far), u0 x0, u1 x1, u2 x2, w0 v0, w1 v1, w2 v2, ua a, ub b, uc c FROM (SELECT *, {_kalman(("z0", "z1", "z2"), "vv")} FROM (
+ SELECT *, {", ".join(f"{c} p{c}" for c in _XV)}, a pa, b pb, c pc FROM (
+ SELECT mission_id, idx, t, inliers, has_gps, z0, z1, z2, g0, g1, g2, vv, gv, dt, x0+dt*v0 x0, x1+dt*v1 x1, x2+dt*v2 x2, v0, v1, v2, a+2*dt*b+dt*dt*c+0.01e0*dt a, b+dt*c b, c+0.25e0*dt c FROM (
+ SELECT s.*, greatest(0.01e0, s.t-f.t) dt, {", ".join(f"f.{c}" for c in _XV)}, f.a, f.b, f.c FROM fw f JOIN sm s ON s.mission_id=f.mission_id AND s.idx=f.idx+1))))))))"""
+_SMOOTH = f""", fm AS MATERIALIZED (SELECT * FROM fw), la AS (SELECT mission_id, max(idx) idx FROM fm GROUP BY 1),
+ bw AS (SELECT f.* FROM fm f JOIN la USING (mission_id, idx)
+ UNION ALL SELECT mission_id, idx, t, inliers, has_gps, {", ".join(f"x{i}+g00*dx{i}+g01*dv{i}" for i in range(3))}, {", ".join(f"v{i}+g10*dx{i}+g11*dv{i}" for i in range(3))},
+ a+g00*g00*da+2*g00*g01*db+g01*g01*dc, b+g00*g10*da+(g00*g11+g01*g10)*db+g01*g11*dc, c+g10*g10*da+2*g10*g11*db+g11*g11*dc, rejected, {", ".join(f"p{c}" for c in _XV)}, pa, pb, pc, dt FROM (
+ SELECT f.*, {", ".join(f"n.x{i}-n.px{i} dx{i}, n.v{i}-n.pv{i} dv{i}" for i in range(3))}, n.a-n.pa da, n.b-n.pb db, n.c-n.pc dc,
+ ((f.a+n.dt*f.b)*n.pc-f.b*n.pb)/(n.pa*n.pc-n.pb*n.pb) g00, (f.b*n.pa-(f.a+n.dt*f.b)*n.pb)/(n.pa*n.pc-n.pb*n.pb) g01,
+ ((f.b+n.dt*f.c)*n.pc-f.c*n.pb)/(n.pa*n.pc-n.pb*n.pb) g10, (f.c*n.pa-(f.b+n.dt*f.c)*n.pb)/(n.pa*n.pc-n.pb*n.pb) g11
+ FROM bw n JOIN fm f ON f.mission_id=n.mission_id AND f.idx=n.idx-1)) """
+_FUSED = f"""SELECT mission_id, idx, {r6('x0+1e-7::DOUBLE', 3)} x, {r6('x1+1e-7::DOUBLE', 3)} y, {r6('x2+1e-7::DOUBLE', 3)} z,
+ {r6("least(0.99e0, greatest(0.15e0, greatest(0.2e0, 1e0-sqrt(greatest(0e0,3*a))/6e0)*0.6e0+least(1e0, greatest(0.3e0, inliers/100))*0.3e0+CASE WHEN has_gps THEN 0.15e0 ELSE 0e0 END))", 2)} confidence, rejected FROM bw"""
+_REFUSED = """SELECT mission_id, count(*) FILTER (rejected) gps_outliers_rejected, count(*) FILTER (has_gps) gps_points FROM fw GROUP BY 1"""
+
+
+def _fused(stations, chunk_rows=tr.CHUNK_ROWS):
+    out = tr.smooth_backward(tr.forward_filter(stations, chunk_rows), chunk_rows)
+    return out.select("mission_id", "idx", *[rounded(F.col("fused")[i] + 1e-7, 3).alias(c) for i, c in enumerate("xyz")], "confidence", "rejected")
+
+
+def _refused(stations, chunk_rows=tr.CHUNK_ROWS):
+    return tr.forward_filter(stations, chunk_rows).groupBy("mission_id").agg(
+        F.count_if("rejected").alias("gps_outliers_rejected"), F.count_if("has_gps").alias("gps_points")
+    )
+
+
+@query("trajectory_fusion", "keyframes telemetry", _STATIONS.replace("inliers, fix_id,", "inliers, fix_id, fix_type,") + _FUSION + _SMOOTH + _FUSED)
 def _(spark, sf):
-    out = tr.smooth_backward(tr.forward_filter(_indexed(spark, sf)))
-    return out.select("mission_id", "idx", *[rounded(F.col("fused")[i], 3).alias(c) for i, c in enumerate("xyz")], "confidence", "rejected")
+    return _fused(_indexed(spark, sf))
 
 
-@query("trajectory_outliers")
+@query("trajectory_outliers", "keyframes telemetry", _STATIONS.replace("inliers, fix_id,", "inliers, fix_id, fix_type,") + _FUSION + _REFUSED)
 def _(spark, sf):
-    return tr.forward_filter(_indexed(spark, sf)).groupBy("mission_id").agg(
-        F.count_if("rejected").alias("gps_outliers_rejected"), F.count_if("has_gps").alias("gps_points")
-    )
+    return _refused(_indexed(spark, sf))
+
+
+@query("long_track_fusion", "keyframes", _LONG + _FUSION + _SMOOTH + _FUSED)
+def _(spark, sf):
+    return _fused(_long_track(spark, sf), LONG_CHUNK)
+
+
+@query("long_track_outliers", "keyframes", _LONG + _FUSION + _REFUSED)
+def _(spark, sf):
+    return _refused(_long_track(spark, sf), LONG_CHUNK)
 
 
 def _scale_cameras(spark, sf):
