@@ -1,17 +1,19 @@
 """Suffix arrays by induced sorting and permuted common prefixes, over the byte strings of one shard.
 
-Induction goes bucket by bucket: what a bucket holds is a batch, and all suffixes
-that a batch induces are placed at once, so a step costs array work over a batch
-and not one suffix at a time. Of a reduced string with nearly as many letters as
-places batches are single suffixes; there a plain loop is used.
+Suffixes are classified, leftmost smaller pieces are sorted and named, the string of
+names is sorted in the same way, and its order induces that of all suffixes. A
+shard's array is induced bucket by bucket, in linear time: what a bucket holds is a
+batch, and all suffixes that a batch induces are placed at once. A string of names
+has nearly as many letters as places, so its batches would be single suffixes; its
+suffixes are induced side by side instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A string with fewer places than this for each letter is induced by the plain loop.
-PLACES = 24
+#: A string with fewer places than this for each letter is induced side by side.
+PLACES = 1000
 
 
 def small_types(text: np.ndarray) -> np.ndarray:
@@ -50,11 +52,11 @@ def _induce_batches(text, size, small, lms):
     ends = np.cumsum(np.bincount(text, minlength=size))
     starts = np.concatenate(([0], ends[:-1]))
     heads, tails = starts.copy(), ends.copy()
-    sa = np.empty(len(text), np.int64)
+    sa = np.empty(len(text), np.int32)
     used = np.flatnonzero(ends > starts)
     letters = text[lms]
     by = np.argsort(letters, kind="stable")
-    seeds, cuts = lms[by], np.searchsorted(letters[by], np.arange(size + 1))
+    seeds, cuts = lms[by].astype(np.int32), np.searchsorted(letters[by], np.arange(size + 1))
 
     def larger(batch):
         before = batch[batch > 0] - 1
@@ -88,36 +90,40 @@ def _induce_batches(text, size, small, lms):
     return sa
 
 
-def _induce_plain(text, size, small, lms):
-    ends = np.cumsum(np.bincount(text, minlength=size)).tolist()
-    starts = [0, *ends[:-1]]
+def _induce_ranks(text, size, small, lms, wanted):
+    """The suffixes ``wanted`` in the order that the leftmost smaller suffixes, in the given order, induce.
+
+    A suffix is known by its letters and types up to the next leftmost smaller
+    suffix, and by that one's rank. Two suffixes that agree in letters and types so
+    far meet such a suffix at the same distance, so all are sorted side by side, a
+    letter at a time, and only those still alike go on.
+    """
     n = len(text)
-    t, s = text.tolist(), small.tolist()
-    sa = [-1] * n
-    tails = ends.copy()
-    for i in reversed(lms.tolist()):
-        tails[t[i]] -= 1
-        sa[tails[t[i]]] = i
-    heads = starts.copy()
-    for k in range(n):
-        i = sa[k] - 1
-        if i >= 0 and not s[i]:
-            c = t[i]
-            sa[heads[c]] = i
-            heads[c] += 1
-    tails = ends.copy()
-    for k in range(n - 1, -1, -1):
-        i = sa[k] - 1
-        if i >= 0 and s[i]:
-            c = t[i]
-            tails[c] -= 1
-            sa[tails[c]] = i
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
-
-
-def _induce(text, size, small, lms):
-    return (_induce_plain if len(text) < PLACES * size else _induce_batches)(text, size, small, lms)
+    letters = text.astype(np.int64) * 2 + small
+    rank = np.zeros(n, np.int64)
+    rank[lms] = np.arange(1, len(lms) + 1)
+    places = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    nexts = np.append(places, n - 1)
+    until = nexts[np.searchsorted(places, wanted, side="right")] - wanted
+    span = max(2 * size, n + 1)
+    sa, ends = wanted.astype(np.int64), until
+    group = np.zeros(len(sa), np.int64)
+    active = np.arange(len(sa))
+    step = 0
+    while len(active):
+        at, left = sa[active], ends[active] - step
+        letter = letters[np.minimum(at + step, n - 1)]
+        key = group[active] * span + np.where(left >= 0, letter, rank[at + ends[active]])
+        by = np.argsort(key)
+        key = key[by]
+        sa[active], ends[active] = at[by], ends[active][by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(key)))
+        group[active] = np.repeat(active[first], sizes)
+        active = active[(np.repeat(sizes, sizes) > 1) & (ends[active] >= step)]
+        step += 1
+    return sa
 
 
 def _same_pieces(text: np.ndarray, first: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,8 +152,12 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     if len(lms) == 0:
         return np.argsort(text, kind="stable")
-    ordered = _induce(text, size, small, lms)
-    ordered = ordered[is_lms[ordered]]
+    dense = n >= PLACES * size
+    if dense:
+        ordered = _induce_batches(text, size, small, lms)
+        ordered = ordered[is_lms[ordered]].astype(np.int64)
+    else:
+        ordered = _induce_ranks(text, size, small, lms[:0], lms)
     # a piece runs to the next leftmost smaller place, which it includes
     length = np.empty(n, np.int64)
     length[lms] = np.append(np.diff(lms) + 1, 1)
@@ -157,10 +167,10 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     new[1 + equal] = ~_same_pieces(text, a[equal], b[equal], length[a[equal]])
     names = np.cumsum(new) - 1
     if names[-1] + 1 < len(ordered):
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[ordered] = names
         ordered = lms[suffix_array(rank[lms], int(names[-1]) + 1)]
-    return _induce(text, size, small, ordered)
+    return _induce_batches(text, size, small, ordered) if dense else _induce_ranks(text, size, small, ordered, np.arange(n))
 
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ class Strings:
     """Strings of ``width`` bytes, chosen grams of ``2 ** gram_log`` bytes, and the bytes of contexts sorted at a time."""
 
     width: int = 400
-    gram_log: int = 6
+    gram_log: int = 5
     shard_bytes: int = 1 << 20
 
     @property
@@ -163,18 +164,22 @@ def _occurrences(held: DataFrame, spec: Strings, with_bytes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
-                text = codec.decompress(row["z"], decompressed_size=row["size"], asbytes=True)
-                cuts = row["cuts"]
-                raw = [text[c["at"] : c["at"] + c["n"] - 1 + spec.width] for c in cuts]
-                digests = pa.array([_digest(c["key"], low, x) for c, x in zip(cuts, raw)], pa.binary())
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                cuts = part.column("cuts")
+                owner = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(cuts).to_numpy())
+                flat = cuts.flatten()
+                field = {n: flat.field(flat.type.get_field_index(n)) for n in ("at", "n", "off", "key")}
+                texts = [codec.decompress(z, decompressed_size=n, asbytes=True) for z, n in zip(part.column("z").to_pylist(), part.column("size").to_pylist())]
+                spans = zip(owner.tolist(), field["at"].to_pylist(), field["n"].to_pylist())
+                raw = [texts[o][x : x + n - 1 + spec.width] for o, x, n in spans]
+                digests = pa.array([_digest(key, low, x) for key, x in zip(field["key"].to_pylist(), raw)], pa.binary())
+                owner = pa.array(owner)
                 if with_bytes:
-                    ints = [pa.array([v] * len(cuts), pa.int32()) for v in (low, high)]
-                    offs = pa.array([c["off"] for c in cuts], pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([c["key"] for c in cuts], pa.int64()), *ints, offs, digests, pa.array(raw, pa.binary()), pa.array([row["m"]] * len(cuts), pa.int64())], names=["key", "low", "high", "off", "c", "bytes", "m"])
+                    ints = [pa.array(np.full(len(raw), v, np.int32)) for v in (low, high)]
+                    yield pa.RecordBatch.from_arrays([field["key"], *ints, field["off"], digests, pa.array(raw, pa.binary()), part.column("m").take(owner)], names=["key", "low", "high", "off", "c", "bytes", "m"])
                 else:
-                    yield pa.RecordBatch.from_arrays([digests, pa.array([row["t"]] * len(cuts), pa.binary()), pa.array([c["at"] for c in cuts], pa.int64())], names=["c", "t", "at"])
+                    yield pa.RecordBatch.from_arrays([digests, part.column("t").take(owner), field["at"]], names=["c", "t", "at"])
 
     return held.mapInArrow(run, f"{_CONTEXT}, m long" if with_bytes else "c binary, t binary, at long")
 
@@ -258,7 +263,8 @@ def _repeats(contexts: DataFrame, spec: Strings) -> DataFrame:
 def repeated_bytes(texts: DataFrame, spec: Strings = Strings()) -> DataFrame:
     """(t, first, last): runs of starts of repeated strings in each distinct text, of rows (t, text) where t stands for the text."""
     cuts = _cuts(texts, spec)  # read twice rather than written: hashing a text again costs less than a table of all its contexts
-    again = cuts.groupBy(F.col("key").alias("again")).agg(F.count("*").alias("times")).where("times > 1").select("again")
+    # written, so that the join below is between shuffles of its own and a key with many rows can be split
+    again = frozen(cuts.groupBy(F.col("key").alias("again")).agg(F.count("*").alias("times")).where("times > 1").select("again"))
     places = cuts.join(again, F.col("key") == F.col("again")).groupBy("t", "at", "n", "off", "key").agg(F.count("*").alias("m"))
     lists = places.groupBy("t").agg(F.max("m").alias("m"), F.collect_list(F.struct("at", "n", "off", "key")).alias("cuts"))
     held = frozen(_zip(texts).join(lists, "t"))

@@ -12,7 +12,7 @@ from skyfold.llm.suffix_dedup import Strings
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("places", [0, 24, 10**9])
+@pytest.mark.parametrize("places", [0, 4, 10**9])
 def test_suffix_array_equals_sorting(monkeypatch, places):
     monkeypatch.setattr(induced, "PLACES", places)
     rng = random.Random(places)
