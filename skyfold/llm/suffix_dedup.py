@@ -34,7 +34,7 @@ class Strings:
     """Strings of ``width`` bytes, chosen grams of ``2 ** gram_log`` bytes, and the bytes of contexts sorted at a time."""
 
     width: int = 400
-    gram_log: int = 5
+    gram_log: int = 6
     shard_bytes: int = 1 << 20
 
     @property
@@ -46,8 +46,8 @@ class Strings:
         return self.width - self.gram + 1
 
 
-#: Bytes hashed at a time: a place needs 20 bits beside the hash.
-PIECE = 1 << 20
+#: Bytes hashed at a time: a place needs 18 bits beside the hash.
+PIECE = 1 << 18
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 
@@ -262,7 +262,7 @@ def _repeats(contexts: DataFrame, spec: Strings) -> DataFrame:
 
 def repeated_bytes(texts: DataFrame, spec: Strings = Strings()) -> DataFrame:
     """(t, first, last): runs of starts of repeated strings in each distinct text, of rows (t, text) where t stands for the text."""
-    cuts = _cuts(texts, spec)  # read twice rather than written: hashing a text again costs less than a table of all its contexts
+    cuts = frozen(_cuts(texts, spec))
     # written, so that the join below is between shuffles of its own and a key with many rows can be split
     again = frozen(cuts.groupBy(F.col("key").alias("again")).agg(F.count("*").alias("times")).where("times > 1").select("again"))
     places = cuts.join(again, F.col("key") == F.col("again")).groupBy("t", "at", "n", "off", "key").agg(F.count("*").alias("m"))
@@ -282,7 +282,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", spec: Strings = String
     of removed bytes. NULL is an empty text; texts shorter than ``width`` keep all
     bytes; what is kept may cut a character. Equal rows have equal results, rows
     may come in any order, an empty table gives no rows, and columns named like an
-    output are replaced. A text is hashed in overlapping parts of 1 MB, but is
+    output are replaced. A text is hashed in overlapping parts of 256 kB, but is
     itself one value of a row, as are its spans. Jobs run here.
     """
     text = text_of(F.col(f"_row.`{text_col}`"))
