@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyfold.functions.linalg import rounded
 from skyfold.functions.text import frame_name
-from skyfold.operators.ordered import chunked_fold
+from skyfold.operators.machines import table_fold
+from skyfold.operators.ordered import running_index
 
 
 def step_size(fps: Column, interval: Column | float) -> Column:
@@ -154,30 +153,32 @@ def correlation(a, b) -> float:
 
 
 def gate_decision(row, state: dict, rules: SamplerRules) -> tuple[bool, dict]:
-    """Simple gate: drop blurred, repeated or bare frames; ends are always kept."""
-    kept = state.get("kept", 0)
-    if rules.ceiling is not None and kept >= rules.ceiling:
+    """Simple gate: drop blurred, repeated or bare frames; ends are always kept. The state is the thumbnail to compare with."""
+    thumb = {"thumb": list(map(float, row.thumb))}
+    if not state:
+        return True, thumb
+    if row.frame_index >= row.total_frames - 1:
+        return True, state
+    if row.laplacian_var < rules.blur or row.feature_count < rules.features or correlation(row.thumb, state["thumb"]) > rules.similarity:
         return False, state
-    if kept == 0:
-        return True, {"kept": 1, "thumb": list(map(float, row.thumb))}
-    if row.frame_index < row.total_frames - 1:
-        alike = state["thumb"] is not None and correlation(row.thumb, state["thumb"]) > rules.similarity
-        if row.laplacian_var < rules.blur or alike or row.feature_count < rules.features:
-            return False, state
-        return True, {"kept": kept + 1, "thumb": list(map(float, row.thumb))}
-    return True, {**state, "kept": kept + 1}
+    return True, thumb
+
+
+def _paces(fps: float, rules: SamplerRules) -> tuple[int, int]:
+    least = max(1, int(round(fps * rules.min_interval)))
+    return least, max(least + 1, int(round(fps * rules.max_interval)))
 
 
 def paced_decision(row, state: dict, rules: SamplerRules) -> tuple[bool, dict]:
     """Paced gate: looks only every few frames, slows on static scenes, forces a
-    frame after a run of poor ones."""
-    saved, poor, due = state.get("kept", 0), state.get("poor", 0), state.get("due", 0)
-    if row.frame_index < due or (rules.ceiling is not None and saved >= rules.ceiling):
+    frame after a run of poor ones. The state is the last kept thumbnail, the run of
+    poor frames and the next frame to look at."""
+    if row.frame_index < state.get("due", 0):
         return False, state
-    least = max(1, int(round(row.fps * rules.min_interval)))
-    most = max(least + 1, int(round(row.fps * rules.max_interval)))
+    poor = state.get("poor", 0)
+    least, most = _paces(row.fps, rules)
     advance, keep = least, True
-    if saved > 0:
+    if "thumb" in state:
         dim = not rules.dark <= row.mean_luminance <= rules.bright
         if dim or row.laplacian_var < rules.blur:
             keep, poor = False, poor + 1
@@ -191,25 +192,40 @@ def paced_decision(row, state: dict, rules: SamplerRules) -> tuple[bool, dict]:
             keep, advance = True, least
     new = {**state, "poor": poor, "due": int(row.frame_index) + advance}
     if keep:
-        new.update(kept=saved + 1, poor=0, thumb=list(map(float, row.thumb)))
+        new.update(poor=0, thumb=list(map(float, row.thumb)))
     return keep, new
 
 
+def _phases(first, rules: SamplerRules) -> list[int]:
+    """Frames at or after a chunk's first one at which a paced run may look next."""
+    least, most = _paces(first.fps, rules)
+    return [int(first.frame_index) + d for d in range(max(least, min(least + 2, most)))]
+
+
 def adaptive_sample(frames: DataFrame, decide=gate_decision, rules: SamplerRules = SamplerRules(), chunk_rows: int = 20_000) -> DataFrame:
-    """Kept frames of each mission by an ordered gate (``gate_decision`` or ``paced_decision``)."""
+    """Kept frames of each mission by an ordered gate (``gate_decision`` or ``paced_decision``); jobs run here.
+
+    What a run does after a kept frame depends on that frame alone, so a chunk's
+    transition table needs the start and, for the paced gate, the frames at which a
+    run may look first. A ceiling keeps each mission's first frames.
+    """
 
-    def step(pdf: pd.DataFrame, text: str | None) -> tuple[pd.DataFrame, str]:
-        state = json.loads(text) if text else {}
-        picks = []
-        for row in pdf.itertuples(index=False):
-            keep, state = decide(row, state, rules)
-            picks.append(keep)
-        out = pdf.loc[picks, ["mission_id", "frame_id", "frame_index"]]
-        return out, json.dumps(state, sort_keys=True)
+    def pick(row, state: dict) -> tuple[dict | None, dict]:
+        keep, state = decide(row, state, rules)
+        return ({} if keep else None), state
 
+    paced = decide is paced_decision
     needed = ["mission_id", "frame_id", "frame_index", "total_frames", "fps", "laplacian_var",
               "mean_luminance", "feature_count", "thumb"]
-    return chunked_fold(
-        frames.select(*needed), ["mission_id"], ["frame_index"], F.floor(F.col("frame_index") / chunk_rows),
-        step, "mission_id bigint, frame_id bigint, frame_index bigint",
+    chunk = F.floor(F.col("frame_index") / chunk_rows)
+    kept = table_fold(
+        frames.select(*needed), ["mission_id"], ["frame_index"], chunk, pick, ["mission_id", "frame_id", "frame_index"],
+        "mission_id bigint, frame_id bigint, frame_index bigint",
+        seeds=(lambda first: [{"due": due} for due in _phases(first, rules)]) if paced else lambda first: [],
+        along=(lambda state, first: [{**state, "due": due} for due in _phases(first, rules)]) if paced else lambda state, first: [state],
+        anchor="thumb",
     )
+    if rules.ceiling is None:
+        return kept
+    placed = running_index(kept, ["mission_id"], ["frame_index"], chunk, "_kept")
+    return up_to_ceiling(placed, rules.ceiling, "_kept").drop("_kept")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from skyfold.functions.linalg import rounded
-from skyfold.operators.ordered import chunked_fold
+from skyfold.operators.machines import table_fold
+from skyfold.operators.ordered import running_sums
 
 
 @dataclass(frozen=True)
@@ -40,10 +39,11 @@ def similarity_to_previous(displacement, min_displacement: float = 20.0):
 
 
 def keyframe_decision(row, state: dict, rules: KeyframeRules) -> tuple[dict | None, dict]:
-    """One step of the selector: the selection record, or None, and the new state."""
+    """One step of the selector: a record (without reason if the frame only moved) or None, and the new state.
+
+    The state is the reference frame, its features and the frames dropped since.
+    """
     drops, ref = state.get("drops", 0), state.get("ref")
-    if rules.max_keyframes is not None and state.get("count", 0) >= rules.max_keyframes:
-        return None, state
     reason, similarity, moved = None, 0.0, 0.0
     if row.classification == "LOW":
         if drops < rules.max_drops:
@@ -70,19 +70,18 @@ def keyframe_decision(row, state: dict, rules: KeyframeRules) -> tuple[dict | No
                 reason = "STRUCTURAL_CHANGE"
             elif drops >= rules.max_drops:
                 reason = "MAX_DROPS_REACHED"
-    state = {**state, "moved": state.get("moved", 0.0) + moved}
+    record = {"similarity_to_previous": round(similarity, 4), "selection_reason": reason, "moved": moved}
     if reason is None:
-        return None, {**state, "drops": drops + 1}
-    count = state.get("count", 0)
-    record = {"keyframe_index": count, "similarity_to_previous": round(similarity, 4), "selection_reason": reason,
-              "moved_so_far": state["moved"]}
-    return record, {**state, "drops": 0, "ref": int(row.frame_id), "ref_features": int(row.feature_count), "count": count + 1}
+        return (record if moved else None), {**state, "drops": drops + 1}
+    return record, {"drops": 0, "ref": int(row.frame_id), "ref_features": int(row.feature_count)}
 
 
 def select_keyframes(scores: DataFrame, flow_stats: DataFrame, rules: KeyframeRules = KeyframeRules(), chunk_rows: int = 20_000) -> DataFrame:
-    """Selected keyframes with reasons; the reference frame is always the last selected one.
+    """Selected keyframes with reasons; the reference frame is always the last selected one. Jobs run here.
 
-    ``flow_stats`` may hold several reference frames per current frame.
+    ``flow_stats`` may hold several reference frames per current frame. A frame is
+    selected after ``max_drops`` others at the latest, so runs from any state soon
+    agree; ``keyframe_index`` and ``moved_so_far`` are running sums over the records.
     """
     moves = flow_stats.groupBy("mission_id", F.col("cur_frame").alias("frame_id")).agg(
         F.collect_list(F.struct(
@@ -91,26 +90,26 @@ def select_keyframes(scores: DataFrame, flow_stats: DataFrame, rules: KeyframeRu
         )).alias("moves")
     )
     rows = scores.select(
-        "mission_id", "frame_id", "frame_index", "classification", "redundancy", "feature_count", "overall_quality"
+        "mission_id", "frame_id", "frame_index", "classification", "redundancy", "feature_count",
+        F.col("overall_quality").cast("int").alias("quality_score"),
     ).join(moves, ["mission_id", "frame_id"], "left")
-
-    def step(pdf: pd.DataFrame, text: str | None) -> tuple[pd.DataFrame, str]:
-        state = json.loads(text) if text else {}
-        out = []
-        for row in pdf.itertuples(index=False):
-            record, state = keyframe_decision(row, state, rules)
-            if record:
-                out.append({"mission_id": row.mission_id, "frame_id": row.frame_id, "frame_index": row.frame_index,
-                            "quality_score": row.overall_quality, **record})
-        columns = ["mission_id", "frame_id", "frame_index", "quality_score", "keyframe_index",
-                   "similarity_to_previous", "selection_reason", "moved_so_far"]
-        return pd.DataFrame(out, columns=columns), json.dumps(state, sort_keys=True)
-
-    return chunked_fold(
-        rows, ["mission_id"], ["frame_index"], F.floor(F.col("frame_index") / chunk_rows), step,
-        "mission_id bigint, frame_id bigint, frame_index bigint, quality_score int, keyframe_index bigint, "
-        "similarity_to_previous double, selection_reason string, moved_so_far double",
+    chunk = F.floor(F.col("frame_index") / chunk_rows)
+    records = table_fold(
+        rows, ["mission_id"], ["frame_index"], chunk, lambda row, state: keyframe_decision(row, state, rules),
+        ["mission_id", "frame_id", "frame_index", "quality_score"],
+        "mission_id bigint, frame_id bigint, frame_index bigint, quality_score int, "
+        "similarity_to_previous double, selection_reason string, moved double",
+        along=lambda state, first: [{**state, "drops": d} for d in range(rules.max_drops + 1)], anchor="ref",
+    )
+    chosen = F.col("selection_reason").isNotNull()
+    summed = running_sums(
+        records, ["mission_id"], ["frame_index"], chunk, {"_nth": F.when(chosen, 1).otherwise(0).cast("long"), "moved_so_far": F.col("moved")}
+    )
+    out = summed.where(chosen).select(
+        "mission_id", "frame_id", "frame_index", "quality_score", (F.col("_nth") - 1).alias("keyframe_index"),
+        "similarity_to_previous", "selection_reason", "moved_so_far",
     )
+    return out if rules.max_keyframes is None else out.where(F.col("keyframe_index") < rules.max_keyframes)
 
 
 def with_fallback(selected: DataFrame, scores: DataFrame) -> DataFrame:

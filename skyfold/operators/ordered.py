@@ -8,12 +8,9 @@ group. A group that holds a third of all rows is thus many bounded tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-from skyfold.session import cut_lineage, spread
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def running_index(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, name: str) -> DataFrame:
@@ -36,6 +33,19 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Co
     )
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over the rows of the group up to and including this one."""
+    keys = list(keys)
+    staged = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = staged.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    totals = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumns({f"_v_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
+    joined = local.join(totals, [*keys, "_chunk"]).withColumns({n: F.col(f"_v_{n}") + F.col(f"_t_{n}") for n in sums})
+    return joined.drop("_chunk", *[f"_{p}_{n}" for n in sums for p in "vt"])
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,79 +73,3 @@ def with_neighbour(
         .withColumn(name, F.coalesce("_near", "_edge"))
         .drop("_chunk", "_row", "_near", "_edge")
     )
-
-
-Step = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]]
-
-
-def chunked_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    step: Step,
-    schema: str,
-    descending: bool = False,
-    max_rounds: int = 100_000,
-) -> DataFrame:
-    """Runs an ordered state machine over each group, chunk by chunk.
-
-    ``step(rows, state)`` handles the rows of one chunk in order and returns the
-    output rows and the state (text) after them; ``state`` is None at the start
-    of a group. Groups with one chunk take one pass. For longer groups the
-    state at each chunk border is found by repetition: every chunk runs at
-    once from the state its predecessor last produced, and again only while
-    that input still changes. The stable point equals the sequential run.
-    Memory per task is one chunk.
-    """
-    keys, order = list(keys), list(order)
-    staged = cut_lineage(df.withColumn("_chunk", -chunk if descending else chunk))
-    key_fields = [f for f in staged.schema.fields if f.name in [*keys, "_chunk"]]
-    state_schema = T.StructType([*key_fields, T.StructField("state_out", T.StringType())])
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(order, ascending=not descending, kind="stable").reset_index(drop=True)
-
-    def final_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        given = pdf["state_in"].iloc[0]
-        _, out = step(pdf, None if pd.isna(given) else given)
-        head = {f.name: [pdf[f.name].iloc[0]] for f in key_fields}
-        return pd.DataFrame({**head, "state_out": [out]})
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        given = pdf["state_in"].iloc[0]
-        out, _ = step(pdf, None if pd.isna(given) else given)
-        return out
-
-    group = [*keys, "_chunk"]
-    chunks = staged.select(*group).distinct()
-    longest = chunks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= 1:
-        single = staged.withColumn("state_in", F.lit(None).cast("string"))
-        return spread(single, *group).groupBy(*group).applyInPandas(rows, schema)
-
-    def run(dirty: DataFrame) -> DataFrame:
-        return spread(staged.join(dirty, group), *group).groupBy(*group).applyInPandas(final_state, state_schema)
-
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    states = chunks.withColumn("state_in", F.lit(None).cast("string"))
-    states = cut_lineage(states.join(run(states), group))
-    for _ in range(max_rounds):
-        linked = states.withColumn("next_in", F.lag("state_out").over(along))
-        dirty = linked.where(~F.col("next_in").eqNullSafe(F.col("state_in")))
-        if dirty.isEmpty():
-            break
-        fresh = run(dirty.select(*group, F.col("next_in").alias("state_in")))
-        states = cut_lineage(
-            linked.join(fresh.withColumnRenamed("state_out", "new_out"), group, "left").select(
-                *group,
-                F.col("next_in").alias("state_in"),
-                F.coalesce("new_out", "state_out").alias("state_out"),
-            )
-        )
-    else:
-        raise RuntimeError("chunk states did not settle")
-    final = staged.join(states.select(*group, "state_in"), group)
-    return spread(final, *group).groupBy(*group).applyInPandas(rows, schema)

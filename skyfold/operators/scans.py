@@ -20,14 +20,16 @@ Element = list[float]
 Combine = Callable[[Element, Element], Element]
 
 
-def _value(cell) -> Element | None:
+def _value(cell) -> Element | str | None:
+    if isinstance(cell, str):
+        return cell
     return None if cell is None or (isinstance(cell, float) and pd.isna(cell)) else list(cell)
 
 
 def exclusive_prefix(elements: DataFrame, keys: Sequence[str], order: str, combine: Combine, fan: int = 512) -> DataFrame:
     """(keys, order, before): the elements of all earlier rows of a group combined, NULL for its first row.
 
-    ``elements`` has the columns keys, ``order`` and ``element`` (array of doubles).
+    ``elements`` has the columns keys, ``order`` and ``element`` (array of doubles, or text).
     A task combines at most ``fan`` elements; longer groups are composed in blocks,
     and the blocks' elements in the same way.
     """
@@ -35,14 +37,14 @@ def exclusive_prefix(elements: DataFrame, keys: Sequence[str], order: str, combi
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     dealt = cut_lineage(elements.withColumn("_block", F.floor(at / fan).cast("long")))
     fields = {f.name: f for f in dealt.schema.fields}
-    array = T.ArrayType(T.DoubleType())
+    kind = fields["element"].dataType
     many = (dealt.agg(F.max("_block")).first()[0] or 0) > 0
-    start = F.lit(None).cast(array)
+    start = F.lit(None).cast(kind)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for cell in pdf.sort_values(order)["element"]:
-            whole = list(cell) if whole is None else combine(whole, list(cell))
+            whole = _value(cell) if whole is None else combine(whole, _value(cell))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "_block"]}, "element": [whole]})
 
     def inner(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,17 +52,17 @@ def exclusive_prefix(elements: DataFrame, keys: Sequence[str], order: str, combi
         now, before = _value(pdf["_start"].iloc[0]), []
         for cell in pdf["element"]:
             before.append(now)
-            now = list(cell) if now is None else combine(now, list(cell))
+            now = _value(cell) if now is None else combine(now, _value(cell))
         return pdf[[*keys, order]].assign(before=before)
 
     if many:
-        head = T.StructType([*[fields[k] for k in keys], fields["_block"], T.StructField("element", array)])
+        head = T.StructType([*[fields[k] for k in keys], fields["_block"], T.StructField("element", kind)])
         totals = dealt.groupBy(*keys, "_block").applyInPandas(total, head).withColumnRenamed("_block", "_at")
         starts = exclusive_prefix(totals, keys, "_at", combine, fan).withColumnsRenamed({"_at": "_block", "before": "_start"})
         dealt = dealt.join(starts, [*keys, "_block"])
     else:
         dealt = dealt.withColumn("_start", start)
-    out = T.StructType([*[fields[k] for k in keys], fields[order], T.StructField("before", array)])
+    out = T.StructType([*[fields[k] for k in keys], fields[order], T.StructField("before", kind)])
     return dealt.groupBy(*keys, "_block").applyInPandas(inner, out)
 
 

@@ -149,16 +149,60 @@ def _(spark, sf):
     return fr.thumbnail_similarity(pairs).select("mission_id", "frame_id", rounded(F.col("similarity")).alias("similarity"))
 
 
-@query("adaptive_sampling_gate")
+_ALIKE = "CASE WHEN t.nn*g.nn>0 THEN list_inner_product(t.ct,g.ct)/sqrt(t.nn*g.nn) ELSE 0e0 END"
+_THUMBS = """, tv AS (SELECT *, list_transform(range(16), lambda i: CAST(((frame_id%97)*(i+1)*3+CAST(floor(contrast_std) AS BIGINT)*i*i)%256 AS DOUBLE)) v FROM frames),
+ tc AS (SELECT * EXCLUDE (v), list_transform(v, lambda x: x-list_avg(v)) ct FROM tv), th AS MATERIALIZED (SELECT *, list_inner_product(ct,ct) nn FROM tc) """
+# One frame after the other, with the state of the gate beside it.
+_GATE = _THUMBS + f""", gt AS (SELECT mission_id, frame_index, frame_id, true kept, ct, nn FROM th WHERE frame_index=0
+ UNION ALL SELECT mission_id, frame_index, frame_id, ok, CASE WHEN ok THEN ct ELSE lct END, CASE WHEN ok THEN nn ELSE lnn END FROM (
+ SELECT t.*, g.ct lct, g.nn lnn, NOT (laplacian_var<15 OR feature_count<20 OR {_ALIKE}>0.92e0) ok FROM gt g JOIN th t ON t.mission_id=g.mission_id AND t.frame_index=g.frame_index+1))
+ SELECT mission_id, frame_id, frame_index FROM gt WHERE kept"""
+_PACED = _THUMBS + f""", gt AS (SELECT mission_id, frame_index, frame_id, true kept, 2 due, 0 poor, ct, nn FROM th WHERE frame_index=0
+ UNION ALL SELECT mission_id, frame_index, frame_id, sees AND ok, CASE WHEN NOT sees THEN due WHEN NOT ok AND same AND NOT bad THEN frame_index+4 ELSE frame_index+2 END,
+ CASE WHEN NOT sees THEN poor WHEN ok THEN 0 ELSE p2 END, CASE WHEN sees AND ok THEN ct ELSE lct END, CASE WHEN sees AND ok THEN nn ELSE lnn END FROM (
+ SELECT *, p2>=8 OR NOT (bad OR same OR feature_count<50) ok FROM (SELECT *, CASE WHEN bad THEN poor+1 WHEN same THEN poor WHEN feature_count<50 THEN 1 ELSE 0 END p2 FROM (
+ SELECT t.*, g.due, g.poor, g.ct lct, g.nn lnn, t.frame_index>=g.due sees, {_ALIKE}>0.9e0 same, laplacian_var<40 OR NOT mean_luminance BETWEEN 20 AND 235 bad
+ FROM gt g JOIN th t ON t.mission_id=g.mission_id AND t.frame_index=g.frame_index+1))))
+ SELECT mission_id, frame_id, frame_index FROM gt WHERE kept"""
+
+#: Rows of a chunk in the queries over long missions, so that they have many chunks on the test tables too.
+LONG_CHUNK = 64
+_LONG = ", fl AS (SELECT * EXCLUDE (mission_id, frame_index), mission_id%3 mission_id, row_number() OVER (PARTITION BY mission_id%3 ORDER BY t, frame_id)-1 frame_index FROM frames) "
+
+
+def _joined(frames):
+    """The frames of all missions as three long ones."""
+    rows = frames.drop("frame_index").withColumn("mission_id", F.col("mission_id") % 3)
+    return running_index(rows, ["mission_id"], ["t", "frame_id"], F.floor(F.col("t") / 86400), "frame_index")
+
+
+def _long_sql(body):
+    return _LONG + body.replace("FROM frames", "FROM fl")
+
+
+_GATE_RULES = fr.SamplerRules(blur=15, similarity=0.92, features=20)
+
+
+@query("adaptive_sampling_gate", "frames", _GATE)
 def _(spark, sf):
-    return fr.adaptive_sample(_thumbs(spark, sf), fr.gate_decision, fr.SamplerRules(blur=15, similarity=0.92, features=20))
+    return fr.adaptive_sample(_thumbs(spark, sf), fr.gate_decision, _GATE_RULES)
 
 
-@query("adaptive_sampling_paced")
+@query("adaptive_sampling_paced", "frames", _PACED)
 def _(spark, sf):
     return fr.adaptive_sample(_thumbs(spark, sf), fr.paced_decision, fr.SamplerRules())
 
 
+@query("long_sampling_gate", "frames", _long_sql(_GATE))
+def _(spark, sf):
+    return fr.adaptive_sample(_joined(_thumbs(spark, sf)), fr.gate_decision, _GATE_RULES, LONG_CHUNK)
+
+
+@query("long_sampling_paced", "frames", _long_sql(_PACED))
+def _(spark, sf):
+    return fr.adaptive_sample(_joined(_thumbs(spark, sf)), fr.paced_decision, fr.SamplerRules(), LONG_CHUNK)
+
+
 _LINE = "coalesce({0}({1}) OVER {2},{3}({1}) OVER {2})"
 
 
@@ -307,25 +351,56 @@ def _moves(frames):
     )
 
 
-def _selected(spark, sf):
-    frames = ad.frames(spark, sf)
+def _selected(frames, chunk_rows=20_000):
     scores = ql.quality_scores(frames)
-    return kf.with_fallback(kf.select_keyframes(scores, _moves(frames)), scores), scores
+    return kf.with_fallback(kf.select_keyframes(scores, _moves(frames), chunk_rows=chunk_rows), scores), scores
+
+
+_KEYS = _SCORED + f""", sm AS MATERIALIZED (SELECT * FROM scored),
+ kx AS (SELECT DISTINCT mission_id, CAST(-1 AS BIGINT) frame_index, CAST(NULL AS BIGINT) frame_id, 0 overall_quality, CAST(NULL AS VARCHAR) reason, 0e0 similarity, 0e0 moved, 0 drops, CAST(NULL AS BIGINT) ref_at, CAST(NULL AS BIGINT) ref_features FROM sm
+ UNION ALL SELECT mission_id, frame_index, frame_id, overall_quality, reason, CASE WHEN followed THEN greatest(0e0, 1e0-away/40e0) ELSE 0e0 END, CASE WHEN followed THEN away ELSE 0e0 END,
+ CASE WHEN reason IS NULL THEN drops+1 ELSE 0 END, CASE WHEN reason IS NULL THEN ref_at ELSE frame_index END, CASE WHEN reason IS NULL THEN ref_features ELSE feature_count END FROM (
+ SELECT *, seen AND ref_features>10 AND tracked>10 AND classification<>'LOW' followed, CASE WHEN classification='LOW' THEN CASE WHEN drops>=10 THEN 'MAX_DROPS_REACHED (Low Quality Fallback)' END
+ WHEN ref_at IS NULL THEN 'FIRST_FRAME' WHEN ref_features<=10 THEN 'INSUFFICIENT_PREVIOUS_FEATURES' WHEN NOT seen THEN 'LOST_TRACKING' WHEN tracked<=10 THEN 'LOST_TRACKING (Significant change)'
+ WHEN away>=20 THEN 'SUFFICIENT_PARALLAX' WHEN (frame_id%10)/12>0.5e0 THEN 'VIEW_ANGLE_DIVERSITY' WHEN redundancy<0.2e0 THEN 'STRUCTURAL_CHANGE' WHEN drops>=10 THEN 'MAX_DROPS_REACHED' END reason FROM (
+ SELECT s.*, k.drops, k.ref_at, k.ref_features, coalesce(s.frame_index-k.ref_at<=3, false) seen, s.contrast_std/8*(s.frame_index-k.ref_at) away, s.feature_count%200 tracked
+ FROM kx k JOIN sm s ON s.mission_id=k.mission_id AND s.frame_index=k.frame_index+1))),
+ kr AS (SELECT *, sum(moved) OVER (PARTITION BY mission_id ORDER BY frame_index) moved_so_far FROM kx),
+ ks AS (SELECT mission_id, frame_id, frame_index, overall_quality quality_score, row_number() OVER (PARTITION BY mission_id ORDER BY frame_index)-1 keyframe_index, similarity, reason selection_reason, moved_so_far FROM kr WHERE reason IS NOT NULL),
+ kn AS (SELECT m.mission_id, m.frames, count(k.frame_id) n FROM (SELECT mission_id, count(*) frames, max(frame_index) last_at FROM sm GROUP BY 1) m LEFT JOIN ks k USING (mission_id) GROUP BY 1,2),
+ ka AS (SELECT * FROM ks UNION ALL SELECT s.mission_id, s.frame_id, s.frame_index, s.overall_quality, n.n, 0e0, 'MINIMUM_KEYFRAME_FALLBACK', 0e0 FROM kn n JOIN sm s ON s.mission_id=n.mission_id AND s.frame_index=n.frames-1 WHERE n.n<2 AND n.frames>=2) """
+_KEYFRAMES = f"""SELECT mission_id, frame_id, frame_index, CAST(quality_score AS INTEGER) quality_score, keyframe_index, {r6('round(similarity,4)+1e-9::DOUBLE', 3)} similarity_to_previous, selection_reason, {r6('moved_so_far')} moved_so_far,
+ count(*) OVER (PARTITION BY mission_id)>=2 sufficient FROM ka"""
+_KEY_REPORT = f"""SELECT n.mission_id, n.frames input_frames, count(a.frame_id) keyframes_selected, {r6('(1-count(a.frame_id)/greatest(n.frames,1))*100',1)} reduction_percent,
+ {r6('coalesce(max(moved_so_far),0)/greatest(count(a.frame_id),1)+1e-9::DOUBLE',2)} mean_displacement_px FROM kn n LEFT JOIN ka a USING (mission_id) GROUP BY 1,2"""
+
+
+def _rounded_keyframes(selected):
+    similarity = rounded(F.col("similarity_to_previous") + 1e-9, 3).alias("similarity_to_previous")
+    return selected.select(
+        "mission_id", "frame_id", "frame_index", "quality_score", "keyframe_index", similarity, "selection_reason",
+        rounded(F.col("moved_so_far")).alias("moved_so_far"), "sufficient",
+    )
+
+
+@query("keyframe_selection", "frames", _KEYS + _KEYFRAMES)
+def _(spark, sf):
+    return _rounded_keyframes(_selected(ad.frames(spark, sf))[0])
 
 
-@query("keyframe_selection")
+@query("long_keyframe_selection", "frames", _long_sql(_KEYS + _KEYFRAMES))
 def _(spark, sf):
-    return _selected(spark, sf)[0]
+    return _rounded_keyframes(_selected(_joined(ad.frames(spark, sf)), LONG_CHUNK)[0])
 
 
-@query("keyframe_selection_report")
+@query("keyframe_selection_report", "frames", _KEYS + _KEY_REPORT)
 def _(spark, sf):
-    return kf.selection_report(*_selected(spark, sf))
+    return kf.selection_report(*_selected(ad.frames(spark, sf)))
 
 
-@query("keyframe_reasons")
+@query("keyframe_reasons", "frames", _KEYS + "SELECT selection_reason, count(*) keyframes FROM ka GROUP BY 1")
 def _(spark, sf):
-    return kf.reason_histogram(_selected(spark, sf)[0])
+    return kf.reason_histogram(_selected(ad.frames(spark, sf))[0])
 
 
 _W, _H = 48, 32

@@ -1,7 +1,5 @@
 """Order, quantile, neighbour, component and as-of operators against brute force."""
 
-import json
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,7 +10,7 @@ from skyfold.operators.asof import nearest_in_time
 from skyfold.operators.components import connected_components
 from skyfold.operators import neighbours
 from skyfold.operators.neighbours import count_within, k_nearest
-from skyfold.operators.ordered import chunked_fold, running_index, with_neighbour
+from skyfold.operators.ordered import running_index, with_neighbour
 from skyfold.operators.quantiles import exact_quantiles
 
 
@@ -74,34 +72,6 @@ def test_exact_quantiles(spark, values, accuracy):
         assert np.allclose([row.lo, row.mid, row.p90, row.hi], np.percentile(own, [0, 50, 90, 100]), rtol=1e-9, atol=1e-9)
 
 
-def machine():
-    """A machine that is reset by large values, so that its state depends on the past."""
-
-    def counter(pdf, text):
-        total = json.loads(text)["total"] if text else 0
-        out = []
-        for v in pdf["v"]:
-            total = 0 if v > 6 else total + int(v)
-            out.append(total)
-        return pdf[["k", "i"]].assign(total=out), json.dumps({"total": total})
-
-    return counter
-
-
-@pytest.mark.parametrize("chunk", [3, 10, 1000])
-@pytest.mark.parametrize("descending", [False, True])
-def test_chunked_fold_equals_sequential(spark, chunk, descending):
-    rng = np.random.default_rng(1)
-    rows = pd.DataFrame({"k": [1] * 80 + [2] * 5, "i": list(range(80)) + list(range(5)), "v": rng.integers(0, 8, 85)})
-    got = chunked_fold(spark.createDataFrame(rows), ["k"], ["i"], F.floor(F.col("i") / chunk), machine(), "k bigint, i bigint, total bigint", descending)
-    expected = []
-    for _, part in rows.groupby("k"):
-        expected.append(machine()(part.sort_values("i", ascending=not descending), None)[0])
-    left = got.toPandas().sort_values(["k", "i"]).reset_index(drop=True)
-    right = pd.concat(expected).sort_values(["k", "i"]).reset_index(drop=True)
-    assert left["total"].tolist() == right["total"].tolist()
-
-
 def test_running_index_and_neighbour(spark):
     df = spark.createDataFrame([(1, float(t), t * 10) for t in (5, 1, 9, 30, 31)] + [(2, 1.0, 7)], "k int, t double, v int")
     chunk = F.floor(F.col("t") / 10)
