@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyfold.functions import linalg as la
 from skyfold.functions.linalg import clip, rounded
 from skyfold.operators.mesh import face_geometry
-from skyfold.operators.neighbours import k_nearest
 from skyfold.session import cut_lineage
 
 KEY = ["mesh_id"]
@@ -111,24 +110,84 @@ def face_targets(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return g.select(*KEY, "f", *[F.col(f"c{c}").alias(c) for c in "xyz"], "nx", "ny", "nz", "area", "p0", "p1", "p2")
 
 
+def least_distance(targets: DataFrame, places: DataFrame, across: int = 16, pairs_each: int = 8) -> DataFrame:
+    """(mesh_id, least): the least distance between a mesh's targets and its places, both ``x, y, z``; jobs run here.
+
+    Branch and bound over cells: targets are summed up as boxes of ``across`` cells
+    along the longest side, each with one of its own points. No pair of a box and a
+    place can be nearer than the box, and the nearest of the points bounds the
+    answer from above, so most pairs go at once. While those left hold more than
+    ``pairs_each`` comparisons per target, their boxes are cut again; then the
+    targets in them are measured. A box of one position is measured by itself.
+    """
+    targets = targets.select(*KEY, "x", "y", "z")
+    all_rows = targets.count()
+    size = targets.groupBy(*KEY).agg(*[F.min(c).alias(f"_{c}0") for c in "xyz"], F.greatest(*[F.max(c) - F.min(c) for c in "xyz"], F.lit(1e-9)).alias("_side"))
+    # a power of two, so that a cell is cut into cells without rounding
+    size = size.withColumn("_side", F.pow(F.lit(2.0), F.ceil(F.log2("_side")) + 1))
+    where = places.select(*KEY, F.col("x").alias("_px"), F.col("y").alias("_py"), F.col("z").alias("_pz")).distinct()
+    where = cut_lineage(where.withColumn("_place", F.monotonically_increasing_id()))
+    gap = lambda c: F.greatest(F.col(f"_lo{c}") - F.col(f"_p{c}"), F.col(f"_p{c}") - F.col(f"_hi{c}"), F.lit(0.0))
+    apart = lambda a: F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"_p{c}")) * (F.col(f"{a}{c}") - F.col(f"_p{c}")) for c in "xyz"), F.lit(0.0)))
+    cells, kept, best, level = across, None, None, 0
+    while True:
+        width = F.col("_side") / cells
+        cell = [F.floor((F.col(c) - F.col(f"_{c}0")) / width).cast("long").alias(f"_{c}") for c in "xyz"]
+        dealt = targets.join(size, KEY).select(*KEY, "x", "y", "z", *cell)
+        if kept is None:
+            live, pairs = dealt, where
+        else:
+            old = [F.floor(F.col(f"_{c}") / across).cast("long") for c in "xyz"]
+            dealt = dealt.withColumns({f"_o{c}": o for c, o in zip("xyz", old)})
+            boxes_left = kept.select(*KEY, *[F.col(f"_{c}").alias(f"_o{c}") for c in "xyz"]).distinct()
+            live = dealt.join(boxes_left, [*KEY, "_ox", "_oy", "_oz"])
+        boxes = live.groupBy(*KEY, *([] if kept is None else ["_ox", "_oy", "_oz"]), "_x", "_y", "_z").agg(
+            *[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.min(F.struct("x", "y", "z")).alias("_own"), F.count(F.lit(1)).alias("_n")
+        ).withColumns({f"_own{c}": F.col(f"_own.{c}") for c in "xyz"})
+        if kept is None:
+            met = boxes.join(where, KEY)
+        else:
+            met = boxes.join(kept.select(*KEY, *[F.col(f"_{c}").alias(f"_o{c}") for c in "xyz"], "_place", "_px", "_py", "_pz"), [*KEY, "_ox", "_oy", "_oz"])
+        met = met.select(*KEY, "_x", "_y", "_z", "_place", "_px", "_py", "_pz", F.sqrt(sum((gap(c) * gap(c) for c in "xyz"), F.lit(0.0))).alias("_low"), apart("_own").alias("_up"), "_n",
+                         sum((F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "xyz"), F.lit(0.0)).alias("_wide"))
+        met = cut_lineage(met)
+        now = met.groupBy(*KEY).agg(F.min("_up").alias("_best"))
+        best = now if best is None else best.unionByName(now).groupBy(*KEY).agg(F.min("_best").alias("_best"))
+        best = cut_lineage(best)
+        kept = cut_lineage(met.join(best, KEY).where((F.col("_low") <= F.col("_best")) & (F.col("_wide") > 0)).drop("_best", "_up", "_low", "_wide"))
+        work = kept.agg(F.sum("_n")).first()[0] or 0
+        level += 1
+        if work <= pairs_each * all_rows or level == 8:
+            break
+        cells *= across
+    exact = dealt.select(*KEY, "_x", "_y", "_z", "x", "y", "z").join(kept.drop("_n"), [*KEY, "_x", "_y", "_z"])
+    measured = exact.select(*KEY, apart("").alias("_best")).unionByName(best)
+    return measured.groupBy(*KEY).agg(F.min("_best").alias("least"))
+
+
 def face_views(targets: DataFrame, cameras: DataFrame, min_cos: float = 0.15, margin: int = 8) -> DataFrame:
-    """All valid (face, camera) views with their score."""
+    """All valid (face, camera) views: ``camera_id, distance, cos_theta, score``; ``with_optics`` adds the rest to the few that are used."""
     targets = cut_lineage(targets)
     seen = _project(view_candidates(targets, cameras)).where(
         (F.col("distance") >= 1e-4) & (F.col("cos_theta") > min_cos) & _inside(margin)
     )
     depth = lambda i: la.mat_vec(la.arr9(F.col("_cam.R")), tuple(F.col(f"p{i}.{c}") for c in "xyz"))[2] + F.col("_cam.t")[2]
     seen = seen.where((depth(0) > 0.05) & (depth(1) > 0.05) & (depth(2) > 0.05))
-    places = cameras.select(*KEY, "camera_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    nearest = k_nearest(targets, 1, KEY, "f", places, "camera_id").groupBy(*KEY).agg(
-        F.greatest(F.lit(0.5), F.min(F.sqrt(F.get("nbrs", F.lit(0))["d2"]))).alias("_dmin")
-    )
+    places = cameras.select(*KEY, F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    nearest = least_distance(targets, places).select(*KEY, F.greatest(F.lit(0.5), "least").alias("_dmin"))
     border = F.least(F.col("u"), F.col("_cam.w") - 1 - F.col("u"), F.col("v_px"), F.col("_cam.h") - 1 - F.col("v_px"))
     score = (
         0.40 * F.col("cos_theta") + 0.25 * clip(F.col("_dmin") / F.col("distance"), 0.1, 1.0)
         + 0.20 * F.col("_cam.quality") + 0.15 * clip(border / (F.least("_cam.w", "_cam.h") / 2.0), 0, 1)
     )
-    return seen.join(nearest, KEY).withColumn("score", score).drop("_dmin")
+    return seen.join(nearest, KEY).select(*KEY, "f", "camera_id", "distance", "cos_theta", score.alias("score"))
+
+
+def with_optics(ranked: DataFrame, targets: DataFrame, cameras: DataFrame) -> DataFrame:
+    """The views with the face's corners and the camera's optics, which are fetched for ranked views only."""
+    corners = targets.select(*KEY, "f", "p0", "p1", "p2")
+    optics = cameras.select(*KEY, "camera_id", F.struct(*OPTICS).alias("_cam"))
+    return ranked.join(corners, [*KEY, "f"], "left").join(optics, [*KEY, "camera_id"], "left")
 
 
 def best_views(views: DataFrame, faces: DataFrame, top: int = 3) -> DataFrame:
@@ -151,7 +210,8 @@ def _mean_pixel(axis: int, size: str, focal: str, centre: str) -> Column:
 def face_colours(ranked: DataFrame, pixels: DataFrame, image_scale: float = 1.0) -> DataFrame:
     """Blend of the top views by squared score; the 3x3 mean for a single view; slate when unseen.
 
-    ``pixels(camera_id, x, y, r, g, b)``; ``image_scale`` maps camera to table pixels.
+    ``ranked`` has the optics (``with_optics``); ``pixels(camera_id, x, y, r, g, b)``;
+    ``image_scale`` maps camera to table pixels.
     """
     seen = ranked.where("camera_id IS NOT NULL")
     views = seen.groupBy(*KEY, "f").agg(F.count(F.lit(1)).alias("_k"))

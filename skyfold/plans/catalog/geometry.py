@@ -507,7 +507,8 @@ _COLOUR = _VIEW + """, pk AS (SELECT mesh_id, f, camera_id, score, count(*) OVER
 @query("face_colours", "vertices faces cameras pixels", _COLOUR + "SELECT mesh_id, f, coalesce(CAST(floor(r+1e-9::DOUBLE) AS INTEGER),100) r, coalesce(CAST(floor(g+1e-9::DOUBLE) AS INTEGER),116) g, coalesce(CAST(floor(b+1e-9::DOUBLE) AS INTEGER),139) b FROM faces LEFT JOIN mxc USING (mesh_id, f)")
 def _(spark, sf):
     px = ad.pixels(spark, sf).select(F.col("frame_id").alias("camera_id"), "x", "y", "r", "g", "b")
-    return vw.face_colours(_best(spark, sf), px.withColumns({c: F.col(c) + 1e-9 for c in "rgb"}), 0.05)
+    targets = vw.face_targets(ad.faces(spark, sf), ad.vertices(spark, sf))
+    return vw.face_colours(vw.with_optics(_best(spark, sf), targets, ad.cameras(spark, sf)), px.withColumns({c: F.col(c) + 1e-9 for c in "rgb"}), 0.05)
 
 
 @query("planar_uv", "vertices", f""", b AS (SELECT mesh_id, min(x) lx, greatest(max(x)-min(x),1e-4::DOUBLE) sx, min(y) ly, greatest(max(y)-min(y),1e-4::DOUBLE) sy FROM vertices GROUP BY 1)

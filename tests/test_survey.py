@@ -261,6 +261,17 @@ def test_view_candidates_lose_nothing(spark, tilt):
     assert got == want
 
 
+@pytest.mark.parametrize(("across", "pairs_each"), [(2, 0), (4, 1), (16, 8)])
+def test_least_distance_equals_all_pairs(spark, across, pairs_each):
+    rng = np.random.default_rng(5)
+    sets = {1: (rng.uniform(-50, 50, (300, 3)), rng.uniform(-60, 60, (20, 3))), 2: (np.full((40, 3), 3.0), rng.uniform(0, 9, (3, 3))),
+            3: (np.column_stack([rng.uniform(0, 1e4, 200), np.zeros(200), np.zeros(200)]), np.column_stack([rng.uniform(0, 1e4, 30), np.zeros(30), np.full(30, 7.0)])), 4: (np.zeros((1, 3)), np.zeros((1, 3)))}
+    frame = lambda k: spark.createDataFrame([(m, *map(float, p)) for m, pair in sets.items() for p in pair[k]], "mesh_id long, x double, y double, z double")
+    got = {r.mesh_id: r.least for r in vw.least_distance(frame(0), frame(1), across, pairs_each).collect()}
+    want = {m: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min() for m, (a, b) in sets.items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[m], want[m], abs_tol=1e-9) for m in want)
+
+
 def test_camera_gate(spark):
     cams = spark.createDataFrame([camera(0, 0.0, 0.0, 9.0), camera(1, 0.0, 0.0, 9.0, sharpness=5.0), camera(2, 0.0, 0.0, 9.0, exposure=0.05)], CAM)
     assert [r.camera_id for r in vw.camera_gate(cams).collect()] == [0]
