@@ -43,38 +43,69 @@ def clamp_boxes(detections: DataFrame, width: int, height: int) -> DataFrame:
     return detections.withColumns({c: rounded(clip(F.col(c), 0.0, m), 1) for c, m in sides.items()})
 
 
+def mask_bands(detections: DataFrame, width: int, height: int) -> DataFrame:
+    """What the boxes of each frame cover, without a row per pixel: ``frame_id, ya, yb, spans``.
+
+    A sweep over the boxes' upper and lower edges cuts a frame into bands of image
+    rows (``ya`` to ``yb``) in which the same boxes are present; ``spans`` are the
+    disjoint column intervals (xa to xb) that these cover, in order. Equal boxes are
+    folded first; a frame has at most ``height`` bands. Frames without a box inside
+    the image have no row.
+    """
+    whole = {c: F.floor(c).cast("int") for c in ("x1", "y1", "x2", "y2")}
+    boxes = detections.select("frame_id", *[v.alias(c) for c, v in whole.items()]).where((F.col("x1") < width) & (F.col("y1") < height))
+    boxes = boxes.withColumns({"x2": F.least("x2", F.lit(width - 1)), "y2": F.least("y2", F.lit(height - 1))}).where("x1 <= x2 and y1 <= y2")
+    boxes = boxes.distinct()
+    edges = boxes.select("frame_id", F.explode(F.array("y1", F.col("y2") + 1)).alias("_e")).groupBy("frame_id").agg(F.sort_array(F.collect_set("_e")).alias("_edges"))
+    band = F.transform("_edges", lambda e, i: F.struct(e.alias("ya"), (F.get(F.col("_edges"), i + 1) - 1).alias("yb")))
+    cut = boxes.join(edges, "frame_id").select("frame_id", "x1", "x2", F.explode(F.filter(band, lambda e: (e["ya"] >= F.col("y1")) & (e["ya"] <= F.col("y2")))).alias("_band"))
+    held = cut.groupBy("frame_id", "_band.ya", "_band.yb").agg(F.sort_array(F.collect_set(F.struct(F.col("x1").alias("xa"), F.col("x2").alias("xb")))).alias("_held"))
+    joined = F.aggregate(
+        "_held", F.array().cast("array<struct<xa:int,xb:int>>"),
+        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["xb"] + 1 >= s["xa"]), F.concat(
+            F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["xa"].alias("xa"), F.greatest(F.element_at(done, -1)["xb"], s["xb"]).alias("xb")))
+        )).otherwise(F.concat(done, F.array(s))),
+    )
+    return held.select("frame_id", "ya", "yb", F.when(F.size("_held") == 1, F.col("_held")).otherwise(joined).alias("spans"))
+
+
+def mask_rows(bands: DataFrame) -> DataFrame:
+    """(frame_id, y, spans): the covered columns of each image row."""
+    return bands.select("frame_id", F.explode(F.sequence("ya", "yb")).alias("y"), "spans")
+
+
 def mask_cells(detections: DataFrame, width: int, height: int) -> DataFrame:
-    """Distinct pixels covered by the boxes of each frame.
+    """Distinct pixels covered by the boxes of each frame, for callers that need a row for each."""
+    rows = mask_rows(mask_bands(detections, width, height)).select("frame_id", "y", F.explode("spans").alias("_s"))
+    return rows.select("frame_id", F.explode(F.sequence("_s.xa", "_s.xb")).alias("x"), "y")
 
-    Equal boxes are folded first; a frame has at most width x height cells.
-    """
-    boxes = detections.select(
-        "frame_id",
-        *[F.floor(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")],
-    ).where((F.col("x1") < width) & (F.col("y1") < height)).distinct()
-    rows = boxes.withColumn("y", F.explode(F.sequence(F.col("y1"), F.least("y2", F.lit(height - 1)))))
-    cells = rows.withColumn("x", F.explode(F.sequence(F.col("x1"), F.least("x2", F.lit(width - 1)))))
-    return cells.select("frame_id", "x", "y").distinct()
-
-
-def mask_coverage(cells: DataFrame, width: int, height: int) -> DataFrame:
-    return cells.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("dynamic_pixels"),
-        rounded(F.count(F.lit(1)) / float(width * height) * 100, 2).alias("dynamic_pixel_percent"),
+
+def mask_coverage(bands: DataFrame, width: int, height: int) -> DataFrame:
+    wide = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["xb"] - s["xa"] + 1)
+    covered = F.sum(wide * (F.col("yb") - F.col("ya") + 1))
+    return bands.groupBy("frame_id").agg(
+        covered.alias("dynamic_pixels"), rounded(covered / float(width * height) * 100, 2).alias("dynamic_pixel_percent"),
     )
 
 
-def static_rows(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows (features, points) that do not lie on a masked cell of their frame."""
-    return rows.join(cells, ["frame_id", "x", "y"], "left_anti")
+def _with_mask(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Adds ``_masked``: whether the row's pixel is covered in its frame; rows meet their image row's spans."""
+    mask = mask_rows(bands).select(F.col("frame_id").alias("_frame"), F.col("y").alias("_row"), F.col("spans").alias("_spans"))
+    met = rows.join(mask, (F.col("frame_id") == F.col("_frame")) & (F.col("y") == F.col("_row")), "left")
+    hit = F.coalesce(F.exists("_spans", lambda s: (s["xa"] <= F.col("x")) & (F.col("x") <= s["xb"])), F.lit(False))
+    return met.withColumn("_masked", hit).drop("_frame", "_row", "_spans")
+
 
+def static_rows(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows (features, points) that do not lie on a masked pixel of their frame."""
+    return _with_mask(rows, bands).where("not _masked").drop("_masked")
 
-def with_static_values(pixels: DataFrame, cells: DataFrame, value: str = "gray") -> DataFrame:
+
+def with_static_values(pixels: DataFrame, bands: DataFrame, value: str = "gray") -> DataFrame:
     """Pixels with masked values set to 0 and a flag."""
-    flagged = pixels.join(cells.withColumn("_m", F.lit(True)), ["frame_id", "x", "y"], "left")
-    return flagged.withColumn("dynamic", F.coalesce("_m", F.lit(False))).withColumn(
+    return _with_mask(pixels, bands).withColumnRenamed("_masked", "dynamic").withColumn(
         "static_value", F.when(F.col("dynamic"), 0).otherwise(F.col(value))
-    ).drop("_m")
+    )
 
 
 def risk_level(area: Column) -> Column:

@@ -417,8 +417,8 @@ def _relevant(spark, sf):
     return ob.relevant(ad.detections(spark, sf), ob.target_classes(spark))
 
 
-def _cells(spark, sf):
-    return ob.mask_cells(ob.clamp_boxes(_relevant(spark, sf), _W, _H), _W, _H)
+def _bands(spark, sf):
+    return ob.mask_bands(ob.clamp_boxes(_relevant(spark, sf), _W, _H), _W, _H)
 
 
 @query("target_class_expansion", "detections", """, want AS (SELECT unnest(['dog','cat','bird','horse','sheep','cow','elephant','bear','zebra','giraffe','laptop']) object_class)
@@ -437,7 +437,7 @@ def _(spark, sf):
 
 @query("mask_coverage", "detections", _CELLS + "SELECT * FROM cov")
 def _(spark, sf):
-    return ob.mask_coverage(_cells(spark, sf), _W, _H)
+    return ob.mask_coverage(_bands(spark, sf), _W, _H)
 
 
 @query("static_features", "detections flow", _CELLS + f""", ft AS (SELECT cur_frame frame_id, CAST(x0 AS INTEGER)%{_W} x, CAST(y0 AS INTEGER)%{_H} y, x1 u FROM flow)
@@ -447,13 +447,13 @@ def _(spark, sf):
         F.col("cur_frame").alias("frame_id"), (F.col("x0").cast("int") % _W).alias("x"),
         (F.col("y0").cast("int") % _H).alias("y"), F.col("x1").alias("u"),
     )
-    return ob.static_rows(features, _cells(spark, sf)).select("frame_id", "x", "y", "u")
+    return ob.static_rows(features, _bands(spark, sf)).select("frame_id", "x", "y", "u")
 
 
 @query("static_scene_pixels", "detections pixels", _CELLS + """SELECT p.frame_id, p.x, p.y, c.frame_id IS NOT NULL AS dynamic, CASE WHEN c.frame_id IS NOT NULL THEN 0 ELSE gray END static_value
  FROM pixels p LEFT JOIN cells c ON c.frame_id=p.frame_id AND c.x=p.x AND c.y=p.y""")
 def _(spark, sf):
-    return ob.with_static_values(ad.pixels(spark, sf), _cells(spark, sf)).select("frame_id", "x", "y", "dynamic", "static_value")
+    return ob.with_static_values(ad.pixels(spark, sf), _bands(spark, sf)).select("frame_id", "x", "y", "dynamic", "static_value")
 
 
 _TIME = _CELLS + """, n AS (SELECT frame_id, count(*) dc, array_to_string(list_sort(list(DISTINCT object_class)),',') cl FROM det GROUP BY 1),
@@ -463,7 +463,7 @@ _TIME = _CELLS + """, n AS (SELECT frame_id, count(*) dc, array_to_string(list_s
 
 def _timeline(spark, sf):
     frames = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_id"))
-    return ob.frame_timeline(frames, _relevant(spark, sf), ob.mask_coverage(_cells(spark, sf), _W, _H))
+    return ob.frame_timeline(frames, _relevant(spark, sf), ob.mask_coverage(_bands(spark, sf), _W, _H))
 
 
 @query("detection_timeline", "detections", _TIME + "SELECT * FROM timeline")

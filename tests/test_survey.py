@@ -154,8 +154,10 @@ def test_detections(spark):
     cells = ob.mask_cells(kept, 10, 10)
     assert cells.count() == 16
     px = spark.range(100).selectExpr("1L AS frame_id", "CAST(id % 10 AS INT) AS x", "CAST(id DIV 10 AS INT) AS y", "7 AS gray")
-    both = ob.with_static_values(px, cells)
-    assert both.where("dynamic").count() + ob.static_rows(px, cells).count() == 100
+    bands = ob.mask_bands(kept, 10, 10)
+    both = ob.with_static_values(px, bands)
+    assert both.where("dynamic").count() == cells.count()
+    assert both.where("dynamic").count() + ob.static_rows(px, bands).count() == 100
 
 
 def test_sampling_fallback_and_rules(spark):
@@ -261,6 +263,19 @@ def test_view_candidates_lose_nothing(spark, tilt):
     assert got == want
 
 
+def test_mask_bands_equal_painted_pixels(spark):
+    rng = np.random.default_rng(8)
+    boxes = [(int(f), *map(float, np.sort(rng.uniform(0, 30, 2))), *map(float, np.sort(rng.uniform(0, 20, 2)))) for f in range(6) for _ in range(rng.integers(1, 25))]
+    boxes = [(f, x1, y1, x2, y2) for f, x1, x2, y1, y2 in boxes] + [(9, 40.0, 1.0, 50.0, 2.0), (8, 0.0, 0.0, 60.0, 60.0)] * 2
+    df = spark.createDataFrame(boxes, "frame_id long, x1 double, y1 double, x2 double, y2 double")
+    painted = {(f, x, y) for f, x1, y1, x2, y2 in boxes for x in range(int(x1), min(int(x2), 23) + 1) for y in range(int(y1), min(int(y2), 15) + 1)}
+    assert {(r.frame_id, r.x, r.y) for r in ob.mask_cells(df, 24, 16).collect()} == painted
+    bands = ob.mask_bands(df, 24, 16)
+    area = {r.frame_id: r.dynamic_pixels for r in ob.mask_coverage(bands, 24, 16).collect()}
+    assert area == {f: sum(p[0] == f for p in painted) for f in {p[0] for p in painted}}
+    assert all(a.xb + 1 < b.xa for r in bands.collect() for a, b in zip(r.spans, r.spans[1:]))
+
+
 @pytest.mark.parametrize(("across", "pairs_each"), [(2, 0), (4, 1), (16, 8)])
 def test_least_distance_equals_all_pairs(spark, across, pairs_each):
     rng = np.random.default_rng(5)
