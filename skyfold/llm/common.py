@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,21 @@ def unpacked(df: DataFrame, outputs: dict[str, Column], name: str = "_row") -> D
     return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in fields], *[v.alias(k) for k, v in outputs.items()])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, _id): the packed rows with a name that stays the same whenever they are read.
+
+    Rows read straight from Parquet files are named by file and place and not
+    copied; all others are written once with a number.
+    """
+    if docs.inputFiles():
+        try:
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), place.alias("_id"))
+        except AnalysisException:
+            pass
+    return frozen(packed(docs).withColumn("_id", F.monotonically_increasing_id()))
+
+
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -101,7 +117,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # bases of the two rolling sums, odd and so invertible
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so the second, the base of the rolling sums, is invertible
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -145,6 +161,25 @@ def byte_batches(rows: Iterable, size_of, limit: int = 1 << 20) -> Iterator[list
         yield batch
 
 
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of its 8-byte pieces, each mixed with its number before it is added.
+
+    Sums of powers modulo 2^64 would not do: they are equal for certain different
+    words whatever the base (letters swapped throughout a long Thue-Morse word).
+    """
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf),), np.uint64, padded.data, 0, (1,))
+    pieces = (lengths + 7) // 8
+    begin = np.cumsum(pieces) - pieces
+    number = np.arange(int(pieces.sum())) - np.repeat(begin, pieces)
+    left = np.minimum(np.repeat(lengths, pieces) - 8 * number, 8).astype(np.uint64)
+    values = eight[np.repeat(starts, pieces) + 8 * number] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+    mixed = mix(values ^ mix(number.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 + seed)))
+    sums = np.add.reduceat(mixed, begin) if len(begin) else np.empty(0, np.uint64)
+    return mix(sums + lengths.astype(np.uint64) * np.uint64(_ODD[0]))
+
+
 class WordTable:
     """The words of some UTF-8 texts: byte borders, the text each one belongs to, and 64-bit hashes."""
 
@@ -160,9 +195,7 @@ class WordTable:
         borders = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(borders, self.starts, side="right")
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        table = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(257 * (seed + 1)))
-        sums = _sums(table[buf], 0)
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _power(0, True, len(buf) + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = _word_hashes(buf, self.starts, self.ends - self.starts, seed)
 
     def runs(self, k: int) -> np.ndarray:
         """Starts (word numbers) of all runs of k words inside one text."""
@@ -170,5 +203,6 @@ class WordTable:
         return np.flatnonzero(self.text[:n] == self.text[k - 1 :]) if n > 0 else np.empty(0, np.int64)
 
     def run_hashes(self, k: int, at: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the k words from each place, for k up to some hundred: a rolling sum of mixed word hashes."""
         sums = _sums(self.hashes, 1)
         return mix((sums[at + k] - sums[at]) * _power(1, True, len(sums))[at])

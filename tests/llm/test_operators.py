@@ -635,3 +635,20 @@ def test_pipeline_stages_on_hard_rows(spark, hard, empty):
         for name, stage in cp.STAGES:
             docs = cut_lineage(stage(spark, docs, SF))
             assert docs.columns[: len(hard.columns)] == hard.columns, name
+
+
+# --- hashes
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_swapped_letters_throughout_a_long_word_differ(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(rows).collect()} == {1: 0, 2: 0}
+    pair = spark.createDataFrame([(1, " ".join([one] * 3)), (2, " ".join([two] * 3))], "_id long, _text string")
+    assert {r["_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(pair).collect()} == {1: 1, 2: 2}
