@@ -49,60 +49,66 @@ def flat_poses(poses: DataFrame) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of one file with their number.
+    """Text lines of all files at a path, with their file and their number in it.
 
-    A task reads a block of the file in order, so row numbers run on inside a
+    A task reads a block of a file in order, so row numbers run on inside a
     block; one small row for each block gives the lines before it.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
-    blocks = rows.groupBy("_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select(F.col("_start").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    return rows.join(offsets, F.col("_start") == F.col("_s")).select((F.col("_before") + F.col("_row") - F.col("_first")).alias("line"), "value")
-
-
-def _header(lines: DataFrame) -> tuple[int, int, int, list[str]]:
-    """End line, vertex and face counts and vertex properties; only header lines are looked at."""
-    end = lines.where(F.trim("value") == "end_header").agg(F.min("line")).first()[0]
-    rows = lines.where(F.col("line") < end).where(F.col("value").rlike("^(element|property)")).orderBy("line").collect()
-    counts, properties, element = {}, [], None
-    for row in rows:
-        parts = row["value"].split()
-        if parts[0] == "element":
-            element = parts[1]
-            counts[element] = int(parts[2])
-        elif element == "vertex":
-            properties.append(parts[-1].lower())
-    return end, counts.get("vertex", 0), counts.get("face", 0), properties
-
-
-def read_text_cloud(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and faces of one ASCII cloud or mesh file; columns follow its header.
-
-    Colours default to 200 and confidence to 1.0.
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.text(path).select("value", at.alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy("_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_at.file").orderBy("_at.start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select(F.col("_at").alias("_block"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(offsets, F.col("_at") == F.col("_block")).select("_at.file", (F.col("_before") + F.col("_row") - F.col("_first")).alias("line"), "value")
+
+
+def _layouts(lines: DataFrame) -> DataFrame:
+    """One row for each file: header end, vertex and face counts and vertex properties in order, from its header lines."""
+    ends = lines.where(F.trim("value") == "end_header").groupBy("file").agg(F.min("line").alias("end"))
+    words = F.split(F.trim("value"), "\\s+")
+    head = lines.where(F.col("value").rlike("^(element|property)")).join(ends, "file").where(F.col("line") < F.col("end"))
+    head = head.select("file", "line", "end", words.alias("_w")).withColumn("_element", F.when(F.col("_w")[0] == "element", F.get("_w", F.lit(1))))
+    inside = F.last("_element", ignorenulls=True).over(Window.partitionBy("file").orderBy("line"))
+    head = head.withColumn("_of", inside)
+    count = lambda name: F.coalesce(F.max(F.when(F.col("_element") == name, F.get("_w", F.lit(2)).try_cast("bigint"))), F.lit(0).cast("long"))
+    named = F.when(F.col("_element").isNull() & (F.col("_of") == "vertex"), F.struct("line", F.lower(F.element_at("_w", -1)).alias("name")))
+    found = head.groupBy("file", "end").agg(count("vertex").alias("n_vertices"), count("face").alias("n_faces"), F.sort_array(F.collect_list(named)).alias("_p"))
+    return found.select("file", "end", "n_vertices", "n_faces", F.col("_p.name").alias("properties"))
+
+
+def read_text_clouds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of all ASCII clouds and meshes at a path (a file, a folder or a pattern), with their ``file``.
+
+    Each file has its own header, and its columns follow it; headers are a small
+    table that the lines meet by file, so any number of files, and parts of large
+    ones, are read side by side. Colours default to 200 and confidence to 1.0;
+    vertices without a position are left out, files without a header give none.
     """
     lines = _numbered(spark, path)
-    end, n_vertices, n_faces, properties = _header(lines)
-    body = lines.where(F.col("line") > end).withColumn("_w", F.split(F.trim("value"), "\\s+"))
-    first = end + 1
+    body = lines.join(_layouts(lines), "file").where(F.col("line") > F.col("end"))
+    body = body.withColumn("_w", F.split(F.trim("value"), "\\s+")).withColumn("_v", F.col("line") - F.col("end") - 1)
 
     def column(name: str, default) -> Column:
-        at = next((properties.index(p) for p in PROPERTY_NAMES[name] if p in properties), None)
-        value = F.lit(None).cast("double") if at is None else F.get("_w", F.lit(at)).try_cast("double")
+        at = F.coalesce(*[F.nullif(F.array_position("properties", p), F.lit(0)) for p in PROPERTY_NAMES[name]]) - 1
+        value = F.get("_w", at.cast("int")).try_cast("double")
         return value if default is None else F.coalesce(value, F.lit(float(default)))
 
-    vertices = body.where(F.col("line") < first + n_vertices).select(
-        (F.col("line") - first).alias("v"), *[column(c, None).alias(c) for c in "xyz"],
+    vertices = body.where(F.col("_v") < F.col("n_vertices")).select(
+        "file", F.col("_v").alias("v"), *[column(c, None).alias(c) for c in "xyz"],
         *[column(c, 200).cast("int").alias(c) for c in "rgb"], column("conf", 1.0).alias("conf"),
     ).dropna(subset=["x", "y", "z"])
-    start = first + n_vertices
+    f = F.col("_v") - F.col("n_vertices")
     index = lambda i: F.get("_w", F.lit(i)).try_cast("bigint")
-    faces = body.where((F.col("line") >= start) & (F.col("line") < start + n_faces) & (F.size("_w") >= 4)).select(
-        (F.col("line") - start).alias("f"), *[index(i + 1).alias(f"v{i}") for i in range(3)]
-    )
+    faces = body.where((f >= 0) & (f < F.col("n_faces")) & (F.size("_w") >= 4)).select("file", f.alias("f"), *[index(i + 1).alias(f"v{i}") for i in range(3)])
     return vertices, faces
 
 
+def read_text_cloud(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of one ASCII cloud or mesh file."""
+    vertices, faces = read_text_clouds(spark, path)
+    return vertices.drop("file"), faces.drop("file")
+
+
 def upload_audit(files: DataFrame, allowed: list[str] | None = None, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """Verdict of each file of ``path, length, header``: ending, size and container mark."""
     allowed = allowed or VIDEO_EXTENSIONS + TELEMETRY_EXTENSIONS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyfold.functions.text import clock_seconds, epoch_seconds, filled, labelled_number
+from skyfold.functions.text import clock_seconds, filled, labelled_number
 from skyfold.schemas import FIXES
 
 # Column names a flight log may use, in order of preference.
@@ -74,10 +74,11 @@ def read_json_fixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Track points of GPX files."""
+    """Track points of GPX files; times without a zone are UTC."""
+    zoned = F.when(F.col("time").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.col("time")).otherwise(F.concat("time", F.lit("Z")))
     points = spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, ele double, time string").load(path)
     return points.select(
-        epoch_seconds(F.to_timestamp_ntz(F.regexp_replace("time", "Z$", ""))).alias("timestamp_sec"),
+        (F.unix_micros(F.to_timestamp(zoned)) / 1e6).alias("timestamp_sec"),
         F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.coalesce("ele", F.lit(0.0)).alias("altitude"),
         F.lit("STANDALONE_GPS").alias("fix_type"), F.lit("GPX").alias("source"),
     )

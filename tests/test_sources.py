@@ -48,6 +48,9 @@ def test_json_gpx_and_text(spark, tmp_path):
     (tmp_path / "a.gpx").write_text('<gpx><trk><trkseg><trkpt lat="1.5" lon="2.5"><ele>9</ele><time>1970-01-01T00:00:10Z</time></trkpt></trkseg></trk></gpx>')
     row = ts.read_gpx(spark, str(tmp_path / "a.gpx")).first()
     assert (row.timestamp_sec, row.latitude, row.longitude, row.altitude) == (10.0, 1.5, 2.5, 9.0)
+    for text in ("1970-01-01T02:00:10+02:00", "1970-01-01T00:00:10"):
+        (tmp_path / "b.gpx").write_text(f'<gpx><trk><trkseg><trkpt lat="1" lon="2"><time>{text}</time></trkpt></trkseg></trk></gpx>')
+        assert ts.read_gpx(spark, str(tmp_path / "b.gpx")).first().timestamp_sec == 10.0
     lines = spark.createDataFrame([("GPS: 999 28.61, 77.2",), ("nothing 1 2",), ("lat only 12",)], "value string")
     assert [(r.latitude, r.longitude) for r in ts.scan_positions(lines).collect()] == [(28.61, 77.2)]
 
@@ -68,6 +71,32 @@ def test_text_cloud(spark, tmp_path):
     assert [tuple(r) for r in f.collect()] == [(0, 0, 1, 2)]
 
 
+def test_clouds_of_a_folder_follow_their_own_headers(spark, tmp_path):
+    head = "ply\nformat ascii 1.0\nelement vertex {}\n{}element face {}\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "a.ply").write_text(head.format(2, "property float x\nproperty float y\nproperty float z\n", 1) + "1 2 3\n4 5 6\n3 0 1 1\n")
+    (tmp_path / "b.ply").write_text(head.format(1, "property uchar red\nproperty float z\nproperty float y\nproperty float x\n", 0) + "7 3 2 1\n")
+    (tmp_path / "c.ply").write_text(head.format(0, "", 0))
+    (tmp_path / "d.ply").write_text("no header\n1 2 3\n")
+    v, f = fs.read_text_clouds(spark, str(tmp_path))
+    assert sorted((r.file[-5], r.v, r.x, r.y, r.z, r.r) for r in v.collect()) == [("a", 0, 1.0, 2.0, 3.0, 200), ("a", 1, 4.0, 5.0, 6.0, 200), ("b", 0, 1.0, 2.0, 3.0, 7)]
+    assert [(r.file[-5], r.f, r.v0, r.v1, r.v2) for r in f.collect()] == [("a", 0, 0, 1, 1)]
+
+
+def test_a_run_that_ended_early_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    rows = lambda v: spark.createDataFrame([(1, v), (2, v)], "job_id long, v string")
+    sinks.write_stage(rows("first"), rows("m1"), path)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "commit_stage", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            sinks.write_stage(rows("second"), rows("m2"), path)
+    data, metrics = sinks.read_stage(spark, path)
+    assert {(r.job_id, r.v) for r in data.collect()} == {(1, "first"), (2, "first")} and {r.v for r in metrics.collect()} == {"m1"}
+    sinks.write_stage(rows("third").where("job_id = 2"), rows("m3").where("job_id = 2"), path)
+    data, metrics = sinks.read_stage(spark, path)
+    assert {(r.job_id, r.v) for r in data.collect()} == {(1, "first"), (2, "third")} and {r.v for r in metrics.collect()} == {"m1", "m3"}
+
+
 def test_upload_audit(spark, tmp_path):
     files = {"a.mp4": b"\0\0\0\x18ftypisom", "b.mp4": b"MZ\x90\0\x03\0\0\0\x04", "c.avi": b"RIFF\0\0\0\0AVI LIST", "d.mkv": b"\x1a\x45\xdf\xa3\0\0\0\0", "e.exe": b"MZ" * 8,
              "f.mp4": bytes.fromhex("1667479701000000000000000000"), "g.mov": b"\0\0\0\x08wide\0\0", "h.avi": b"RIFF\0\0\0\0WAVE"}
