@@ -80,9 +80,24 @@ def admit_faces(faces: DataFrame, vertices: DataFrame, edge_limit: float | DataF
 def grid_surface(points: DataFrame, cell: float, key: str = "cloud_id") -> tuple[DataFrame, DataFrame]:
     """Surface of a cloud: a vertex per occupied plan cell, two triangles per full 2x2 block."""
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = points.groupBy(F.col(key).alias("mesh_id"), at("x").alias("i"), at("y").alias("j")).agg(
-        *[F.avg(c).alias(c) for c in ("x", "y", "z", "conf")]
-    )
+    return _cell_surface(points.select(F.col(key).alias("mesh_id"), at("x").alias("i"), at("y").alias("j"), "x", "y", "z", "conf"))
+
+
+def preview_surface(points: DataFrame, key: str = "mesh_id", across: int = 32, least_points: int = 4) -> tuple[DataFrame, DataFrame]:
+    """A quick coarse surface of each cloud of sparse points: ``across`` cells along its longer side.
+
+    Clouds of fewer than ``least_points`` points have no surface; none is invented.
+    """
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6))
+    # a little wider, so that the last point lies inside the last cell
+    box = points.groupBy(key).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), (span * 1.001 / across).alias("_cell"), F.count(F.lit(1)).alias("_n"))
+    placed = points.join(box.where(F.col("_n") >= least_points), key)
+    at = lambda c: F.floor((F.col(c) - F.col(f"_{c}0")) / F.col("_cell")).cast("long")
+    return _cell_surface(placed.select(F.col(key).alias("mesh_id"), at("x").alias("i"), at("y").alias("j"), "x", "y", "z", "conf"))
+
+
+def _cell_surface(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cells = placed.groupBy("mesh_id", "i", "j").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "conf")])
     v = lambda i, j: (i + 2**20) * 2**21 + (j + 2**20)
     vertices = cells.select("mesh_id", v(F.col("i"), F.col("j")).alias("v"), "x", "y", "z", "conf")
     base = cells.select("mesh_id", "i", "j")

@@ -171,39 +171,38 @@ def triangulate(matches: DataFrame, cameras: DataFrame, keys: Sequence[str] = ("
 
 def verified_points(triangulated: DataFrame, min_angle: float = 2.0, max_error: float = 3.0) -> DataFrame:
     """Points in front of both cameras (after one sign flip if that helps) with
-    enough parallax and a small mean reprojection error."""
-    p = (F.col("x"), F.col("y"), F.col("z"))
-
-    def in_camera(s: str):
-        return la.add(la.mat_vec(la.arr9(f"R{s}"), p), la.arr3(f"t{s}"))
-
-    depth = {s: la.mat_vec(la.arr9(f"R{s}"), p)[2] for s in "ij"}
-    out = triangulated.where("x IS NOT NULL").withColumns({f"_d{s}": depth[s] for s in "ij"})
-    ahead = lambda sign: (sign * F.col("_di") + F.col("ti")[2] > 0) & (sign * F.col("_dj") + F.col("tj")[2] > 0)
-    out = out.withColumn("_s", F.when(ahead(1.0), 1.0).when(ahead(-1.0), -1.0)).where("_s IS NOT NULL")
-    out = out.withColumns({c: F.col(c) * F.col("_s") for c in "xyz"})
-    # One stage per step keeps the generated code small.
-    for s in "ij":
-        ray = la.sub(p, la.camera_centre(la.arr9(f"R{s}"), la.arr3(f"t{s}")))
-        cam = in_camera(s)
-        out = out.withColumns({f"_{n}{s}{i}": v[i] for n, v in (("r", ray), ("c", cam)) for i in range(3)})
-    ray_i, ray_j = (tuple(F.col(f"_r{s}{i}") for i in range(3)) for s in "ij")
-    out = out.withColumns({"_dot": la.dot(ray_i, ray_j), "_len": la.norm(ray_i) * la.norm(ray_j)})
-    angle = F.when(F.col("_len") > 1e-16, F.degrees(F.acos(clip(F.col("_dot") / F.col("_len"), -1, 1)))).otherwise(0.0)
-
-    def error(s: str, u: str, v: str):
-        return F.hypot(
-            F.col("fx") * F.col(f"_c{s}0") / F.col(f"_c{s}2") + F.col("px") - F.col(u),
-            F.col("fy") * F.col(f"_c{s}1") / F.col(f"_c{s}2") + F.col("py") - F.col(v),
-        )
-
-    helpers = [c for c in out.columns if c.startswith("_")]
-    return (
-        out.withColumn("angle_deg", angle).where(F.col("angle_deg") >= min_angle)
-        .withColumn("error_px", (error("i", "u1", "v1") + error("j", "u2", "v2")) / 2.0)
-        .where(F.col("error_px") <= max_error)
-        .drop("Ri", "ti", "Rj", "tj", "fx", "fy", "px", "py", *helpers)
-    )
+    enough parallax and a small mean reprojection error; adds ``angle_deg`` and ``error_px``."""
+    rows = triangulated.where("x IS NOT NULL")
+    dropped = {"Ri", "ti", "Rj", "tj", "fx", "fy", "px", "py"}
+    kept = [f for f in rows.schema.fields if f.name not in dropped]
+    names = [*[f.name for f in kept], "angle_deg", "error_px"]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "angle_deg double", "error_px double"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            num = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+            turn = {s: batch.column(f"R{s}").flatten().to_numpy(zero_copy_only=False).reshape(n, 3, 3) for s in "ij"}
+            shift = {s: batch.column(f"t{s}").flatten().to_numpy(zero_copy_only=False).reshape(n, 3) for s in "ij"}
+            p = np.stack([num(c) for c in "xyz"], axis=1)
+            ahead = lambda sign: np.logical_and(*[np.einsum("nj,nj->n", turn[s][:, 2], sign * p) + shift[s][:, 2] > 0 for s in "ij"])
+            front, behind = ahead(1.0), ahead(-1.0)
+            p = np.where(front[:, None], p, -p)
+            ray = {s: p + np.einsum("nji,nj->ni", turn[s], shift[s]) for s in "ij"}
+            cam = {s: np.einsum("nij,nj->ni", turn[s], p) + shift[s] for s in "ij"}
+            length = np.linalg.norm(ray["i"], axis=1) * np.linalg.norm(ray["j"], axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cos = np.clip(np.einsum("ni,ni->n", ray["i"], ray["j"]) / length, -1.0, 1.0)
+                angle = np.where(length > 1e-16, np.degrees(np.arccos(cos)), 0.0)
+                off = [np.hypot(num("fx") * cam[s][:, 0] / cam[s][:, 2] + num("px") - num(u), num("fy") * cam[s][:, 1] / cam[s][:, 2] + num("py") - num(v))
+                       for s, u, v in (("i", "u1", "v1"), ("j", "u2", "v2"))]
+            error = (off[0] + off[1]) / 2.0
+            good = (front | behind) & (angle >= min_angle) & (error <= max_error)
+            point = {c: pa.array(p[:, k]) for k, c in enumerate("xyz")}
+            arrays = [point.get(f.name, batch.column(f.name)) for f in kept] + [pa.array(angle), pa.array(error)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(good))
+
+    return rows.mapInArrow(check, schema)
 
 
 def point_colours(points: DataFrame, pixels: DataFrame, width: int, height: int, u: str = "u1", v: str = "v1", frame: str = "frame_i") -> DataFrame:

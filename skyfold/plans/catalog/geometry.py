@@ -366,6 +366,16 @@ def _(spark, sf):
     return count(f, "faces").join(count(v, "vertices"), "mesh_id")
 
 
+@query("preview_surface", "cameras", _TIES + """, ok AS (SELECT mesh_id, X x, Y y FROM ang WHERE ag>=2), bx AS (SELECT mesh_id, min(x) x0, min(y) y0, greatest(max(x)-min(x), max(y)-min(y), 1e-6::DOUBLE)*1.001e0/16 cell, count(*) n FROM ok GROUP BY 1),
+ ce AS (SELECT DISTINCT mesh_id, floor((x-x0)/cell) i, floor((y-y0)/cell) j FROM ok JOIN bx USING (mesh_id) WHERE n>=4), vc AS (SELECT mesh_id, count(*) vertices FROM ce GROUP BY 1),
+ fc AS (SELECT a.mesh_id, count(*)*2 faces FROM ce a JOIN ce b ON b.mesh_id=a.mesh_id AND b.i=a.i+1 AND b.j=a.j JOIN ce c ON c.mesh_id=a.mesh_id AND c.i=a.i AND c.j=a.j+1 JOIN ce d ON d.mesh_id=a.mesh_id AND d.i=a.i+1 AND d.j=a.j+1 GROUP BY 1)
+ SELECT mesh_id, vertices, coalesce(faces, 0) faces FROM vc LEFT JOIN fc USING (mesh_id)""")
+def _(spark, sf):
+    v, f = ms.preview_surface(_verified(spark, sf).withColumn("conf", F.lit(1.0)), "mesh_id", 16)
+    count = lambda df, n: df.groupBy("mesh_id").agg(F.count(F.lit(1)).alias(n))
+    return count(v, "vertices").join(count(f, "faces"), "mesh_id", "left").withColumn("faces", F.coalesce("faces", F.lit(0)))
+
+
 @query("degenerate_faces_dropped", "vertices faces", _FG + "SELECT mesh_id, count(*) faces FROM fg WHERE a2/2>=2e0 GROUP BY 1")
 def _(spark, sf):
     kept = ms.drop_degenerate(ad.faces(spark, sf), ad.vertices(spark, sf), 2.0)
@@ -568,11 +578,22 @@ _EVID = _FG + _VN + _DENS + """, ov AS (SELECT n.mesh_id, n.v, (nx*(c.cx-x)+ny*(
  ti AS (SELECT *, CASE WHEN confidence<0.35e0 OR n=0 THEN 'UNKNOWN' WHEN confidence>=0.7e0 AND n>=2 THEN 'HIGH' WHEN confidence<0.7e0 AND n>=1 THEN 'MEDIUM' ELSE 'UNTIERED' END tier FROM fu) """
 
 
-def _tiered(spark, sf):
+def _evidence(spark, sf):
     v = cut_lineage(ms.vertex_normals(ad.vertices(spark, sf), ad.faces(spark, sf)))
     evidence = cf.with_view_scores(cf.observation_evidence(v, cf.vertex_views(v, ad.cameras(spark, sf))))
     density = _density(spark, sf, ad.vertices(spark, sf)).select("mesh_id", "v", "density_score")
-    return cut_lineage(cf.with_tier(cf.fuse(evidence.join(density, ["mesh_id", "v"]))))
+    return evidence.join(density, ["mesh_id", "v"])
+
+
+def _tiered(spark, sf):
+    return cut_lineage(cf.with_tier(cf.fuse(_evidence(spark, sf))))
+
+
+@query("reweighted_confidence", "vertices faces cameras points", _EVID + f"""SELECT mesh_id, v, {r6("CASE WHEN n=0 THEN 0.05e0 ELSE least(greatest(0.3e0+0.18e0*least(n/4,1)+0.16e0*least(greatest(mc,0e0),1e0)+0.12e0*exp(-1.44e0/4.5e0)+0.12e0*dp+0e0*density_score+0.08e0*tq+0.06e0*pa,0e0),1e0) END")} confidence FROM ev""")
+def _(spark, sf):
+    """The fusion with two weights of its own and a measured mean error."""
+    fused = cf.fuse(_evidence(spark, sf), {"visibility": 0.3, "point_density": 0.0}, F.lit(1.2))
+    return _r(fused.select("mesh_id", "v", "confidence"), "confidence")
 
 
 @query("observation_evidence", "vertices faces cameras points", _EVID + f"SELECT mesh_id, v, n observations, {r6('mc')} max_cos, {r6('tq')} texture_quality, {r6('pa')} parallax_score, {r6('dp')} depth_score FROM ev")

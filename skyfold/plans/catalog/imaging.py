@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyfold.functions.linalg import rounded
-from skyfold.operators import frames as fr, illumination as il, keyframes as kf, objects as ob, quality as ql
+from skyfold.operators import confidence as cf, frames as fr, illumination as il, keyframes as kf, objects as ob, quality as ql
 from skyfold.operators.ordered import running_index
 from skyfold.plans import adapters as ad
 from skyfold.plans.registry import query, r6
@@ -492,3 +492,10 @@ def _(spark, sf):
 def _(spark, sf):
     frames = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_id"))
     return ob.frames_with(_relevant(spark, sf), frames, "truck")
+
+
+@query("feature_scores", "frames", f"SELECT mission_id, frame_id, CASE WHEN frame_id%5=0 THEN 0.8e0 ELSE {r6('exp(-(contrast_std/20)*(contrast_std/20)/4.5e0)')} END feature_score FROM frames")
+def _(spark, sf):
+    """Matching quality from a frame's mean error, which every fifth frame lacks."""
+    error = F.when(F.col("frame_id") % 5 != 0, F.col("contrast_std") / 20)
+    return ad.frames(spark, sf).select("mission_id", "frame_id", rounded(cf.feature_score(error)).alias("feature_score"))

@@ -102,6 +102,19 @@ def _(spark, sf):
     return rp.compare_runs(pick("_a"), pick("_b"), ["mission_id"])
 
 
+@query("run_speed_up", "jobs job_stages", _MEAS + f""", ends AS (SELECT mission_id, min(job_id) f, max(job_id) l FROM de GROUP BY 1)
+ SELECT e.mission_id, a.job_id baseline_job, b.job_id candidate_job, {r6('a.processing_seconds/greatest(0.1e0,b.processing_seconds)+1e-9::DOUBLE',1)} speed_up FROM ends e JOIN de a ON a.job_id=f JOIN de b ON b.job_id=l WHERE f<l""")
+def _(spark, sf):
+    """How much faster a mission's last run is than its first."""
+    runs = _measured(spark, sf).select("mission_id", "job_id", "processing_seconds")
+    of = lambda pick, name: pick(F.struct("job_id", "processing_seconds")).alias(name)
+    ends = runs.groupBy("mission_id").agg(of(F.min, "_a"), of(F.max, "_b")).where("_a.job_id < _b.job_id")
+    return ends.select(
+        "mission_id", F.col("_a.job_id").alias("baseline_job"), F.col("_b.job_id").alias("candidate_job"),
+        rp.speed_up(F.col("_a.processing_seconds"), F.col("_b.processing_seconds")).alias("speed_up"),
+    )
+
+
 @query("ground_truth_errors", "missions", f""", t AS (SELECT mission_id, 25e0 st, 25e0+(mission_id%13)*0.018e0 mt, 0.038e0+(mission_id%9)*0.01e0 rm FROM missions WHERE mission_id%2=0)
  SELECT m.mission_id, {r6('abs(mt-st)/st*100',3)} scale_error_pct, CASE WHEN st IS NULL THEN 'unavailable' ELSE 'measured' END scale_status, {r6('rm',3)} position_rmse_m, CASE WHEN rm IS NULL THEN 'unavailable' ELSE 'measured' END position_status,
  CASE WHEN rm IS NULL THEN 'unavailable' ELSE printf('%.3f', round(rm,3))||'m RMSE' END position_text FROM missions m LEFT JOIN t USING (mission_id)""")

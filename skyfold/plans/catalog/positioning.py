@@ -204,6 +204,41 @@ def _(spark, sf):
     return gr.residual_report(moved)
 
 
+# A known similarity: thrice ten degrees about the vertical, 2.5 times as large, moved by whole metres.
+_TURN, _SHIFT = (0.8660254037844387, 0.49999999999999994), (100.0, 200.0, -50.0)
+
+
+def _known_pairs(spark, sf):
+    (c, s), k = _TURN, 2.5
+    pairs = _indexed(spark, sf).where(F.col("gps").isNotNull()).select("mission_id", F.col("visual").alias("src"))
+    x, y, z = (F.col("src")[i] for i in range(3))
+    return pairs.withColumn("dst", F.array(k * (c * x - s * y) + _SHIFT[0], k * (s * x + c * y) + _SHIFT[1], k * z + _SHIFT[2]))
+
+
+_KNOWN = _STATIONS + f""", kp AS (SELECT mission_id, vx, vy, vz, 2.5e0*({_TURN[0]}e0*vx-{_TURN[1]}e0*vy)+100 gx, 2.5e0*({_TURN[1]}e0*vx+{_TURN[0]}e0*vy)+200 gy, 2.5e0*vz-50 gz FROM sv WHERE fix_id IS NOT NULL),
+ km AS (SELECT mission_id, count(*) n, avg(vx) a, avg(vy) b, avg(vz) d, avg(gx) p, avg(gy) q, avg(gz) r, CASE WHEN count(*)<3 THEN 1e0 ELSE {_TURN[0]}e0 END c, CASE WHEN count(*)<3 THEN 0e0 ELSE {_TURN[1]}e0 END s FROM kp GROUP BY 1) """
+
+
+def _similarity_rows(found):
+    at = lambda c, i, d: (rounded(F.col(c)[i] + 1e-9, d) + 0.0).alias(f"{c.lower()}{i}")
+    return found.select("mission_id", "n", rounded(F.col("scale")).alias("scale"), *[at("R", i, 6) for i in (0, 1, 3, 8)], *[at("t", i, 3) for i in range(3)])
+
+
+@query("recovered_similarity", "keyframes telemetry", _KNOWN + f"""SELECT mission_id, n, CASE WHEN n<3 THEN 1e0 ELSE 2.5e0 END AS "scale", {r6('c')} r0, {r6('-s')} r1, {r6('s')} r3, 1e0 r8,
+ CASE WHEN n<3 THEN 0e0 ELSE 100e0 END t0, CASE WHEN n<3 THEN 0e0 ELSE 200e0 END t1, CASE WHEN n<3 THEN 0e0 ELSE -50e0 END t2 FROM km""")
+def _(spark, sf):
+    """The least-squares similarity of pairs that follow a known one exactly."""
+    return _similarity_rows(tr.similarity_alignment(_known_pairs(spark, sf), ["mission_id"]))
+
+
+@query("fixed_scale_similarity", "keyframes telemetry", _KNOWN + f"""SELECT mission_id, n, 3e0 AS "scale", {r6('c')} r0, {r6('-s')} r1, {r6('s')} r3, 1e0 r8,
+ {r6('p-3*(c*a-s*b)+1e-9::DOUBLE', 3)} t0, {r6('q-3*(s*a+c*b)+1e-9::DOUBLE', 3)} t1, {r6('r-3*d+1e-9::DOUBLE', 3)} t2 FROM km""")
+def _(spark, sf):
+    """The same pairs with the scale given: the turn is found, and the shift follows the means."""
+    moments = tr.alignment_moments(_known_pairs(spark, sf), ["mission_id"]).withColumn("given", F.lit(3.0))
+    return _similarity_rows(tr.solve_similarity(moments, ["mission_id"], "given"))
+
+
 @query("position_residuals", "keyframes telemetry", _STATIONS + f""", q AS (SELECT mission_id, count(*) stations, sqrt(avg(pow(ge-vx,2))) e, sqrt(avg(pow(gn-vy,2))) n, sqrt(avg(pow(gu-vz,2))) v,
  max(sqrt(pow(ge-vx,2)+pow(gn-vy,2))) mh, max(abs(gu-vz)) mv FROM sv WHERE fix_id IS NOT NULL GROUP BY 1)
  SELECT mission_id, stations, {r6('e',3)} rmse_east_m, {r6('n',3)} rmse_north_m, {r6('sqrt(e*e+n*n)',3)} rmse_horizontal_m, {r6('v',3)} rmse_vertical_m, {r6('sqrt(e*e+n*n+v*v)',3)} rmse_3d_m,
@@ -358,6 +393,26 @@ def _(spark, sf):
     return _refused(_long_track(spark, sf), LONG_CHUNK)
 
 
+_ANGLES = """, an AS (SELECT keyframe_id, CASE WHEN keyframe_id%50=0 THEN 0e0 ELSE keyframe_id*7%359-179.37e0 END ro, CASE WHEN keyframe_id%50=0 THEN 90e0 ELSE keyframe_id%178-89.21e0 END pi,
+ CASE WHEN keyframe_id%50=0 THEN keyframe_id%80+0.13e0 ELSE keyframe_id%359-179.63e0 END ya FROM keyframes), hf AS (SELECT *, cos(radians(ro/2)) cr, sin(radians(ro/2)) sr, cos(radians(pi/2)) cp, sin(radians(pi/2)) sp, cos(radians(ya/2)) cy, sin(radians(ya/2)) sy FROM an),
+ qu AS (SELECT *, cr*cp*cy+sr*sp*sy w, sr*cp*cy-cr*sp*sy x, cr*sp*cy+sr*cp*sy y, cr*cp*sy-sr*sp*cy z FROM hf),
+ qs AS (SELECT *, CASE WHEN abs(w)>=greatest(abs(x),abs(y),abs(z))-1e-12::DOUBLE THEN sign(w) WHEN abs(x)>=greatest(abs(y),abs(z))-1e-12::DOUBLE THEN sign(x) WHEN abs(y)>=abs(z) THEN sign(y) ELSE sign(z) END s FROM qu) """
+
+
+@query("general_orientation", "keyframes", _ANGLES + f"SELECT keyframe_id, {r6('ya',2)} yaw_deg, {r6('pi',2)} pitch_deg, {r6('ro',2)} roll_deg, {r6('s*w',5)} qw, {r6('s*x',5)} qx, {r6('s*y',5)} qy, {r6('s*z',5)} qz FROM qs")
+def _(spark, sf):
+    """Turns about all three axes, straight up included, from their angles and back."""
+    k = F.col("keyframe_id")
+    up = k % 50 == 0
+    roll = F.when(up, 0.0).otherwise(k * 7 % 359 - 179.37)
+    pitch = F.when(up, 90.0).otherwise(k % 178 - 89.21)
+    yaw = F.when(up, k % 80 + 0.13).otherwise(k % 359 - 179.63)
+    (cr, sr), (cp, sp), (cy, sy) = ((F.cos(F.radians(a)), F.sin(F.radians(a))) for a in (roll, pitch, yaw))
+    rot = F.array(cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr, sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr, -sp, cp * sr, cp * cr)
+    out = tr.orientation(ad.keyframes(spark, sf).select("keyframe_id", rot.alias("R")))
+    return out.select("keyframe_id", "yaw_deg", "pitch_deg", "roll_deg", *[F.col("quaternion")[i].alias(f"q{c}") for i, c in enumerate("wxyz")])
+
+
 def _scale_cameras(spark, sf):
     s = _indexed(spark, sf)
     return s.select(
