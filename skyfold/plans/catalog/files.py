@@ -15,7 +15,7 @@ from skyfold.sources import files as fs, sinks, telemetry as ts
 from skyfold.streaming import telemetry as st
 
 
-def _new_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/skyfold-{uuid.uuid4().hex}"
 
 
@@ -78,7 +78,7 @@ def _(spark, sf):
 @query("replaced_groups", "telemetry", "SELECT fix_id, fix_type, CASE WHEN fix_type='RTK_FLOAT' THEN -mission_id ELSE mission_id END mission_id FROM telemetry")
 def _(spark, sf):
     """Fixes written by kind, then one kind written anew; the other groups stay."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     fixes = ad.telemetry(spark, sf).select("fix_id", "mission_id", "fix_type")
     sinks.replace_groups(fixes, path, "fix_type")
     sinks.replace_groups(fixes.where("fix_type = 'RTK_FLOAT'").withColumn("mission_id", -F.col("mission_id")), path, "fix_type")
@@ -88,7 +88,7 @@ def _(spark, sf):
 @query("appended_artifacts", "artifacts", "SELECT job_id, artifact_type, file_size_bytes FROM artifacts")
 def _(spark, sf):
     """Artifacts added in two writes."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     rows = ad.artifacts(spark, sf).select("job_id", "artifact_type", "file_size_bytes")
     for kinds in (F.col("artifact_type") == "mesh", F.col("artifact_type") != "mesh"):
         sinks.append_artifacts(rows.where(kinds), path)
@@ -97,7 +97,7 @@ def _(spark, sf):
 
 def _file_each(rows: DataFrame, part: str, text: str) -> str:
     """One text file for each row, in a folder named by its part; returns the path."""
-    path = _new_folder(rows.sparkSession)
+    path = new_folder(rows.sparkSession)
     rows.select(F.col(part).alias("part"), F.col(text).alias("value")).write.partitionBy("part").text(path)
     return path
 
@@ -163,7 +163,7 @@ def _(spark, sf):
 @query("control_artifacts", "artifacts", "SELECT job_id, artifact_type, stage_name, CAST(stage_order AS INTEGER) stage_order, file_path, file_size_bytes FROM artifacts")
 def _(spark, sf):
     """The artifact table at rest, its columns in another order and one more."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     rows = ad.artifacts(spark, sf).withColumn("stage_order", F.col("stage_order").cast("int")).withColumn("more", F.lit(1))
     rows.select(*reversed(rows.columns)).write.parquet(path)
     return fs.read_control(spark, path, "artifacts")
@@ -189,7 +189,7 @@ def _(spark, sf):
 @query("stage_output", "job_stages", """SELECT job_id, stage_name, CASE WHEN job_id%3=0 THEN 'again' ELSE status END status, CASE WHEN job_id%3=0 THEN 2 ELSE 1 END run FROM job_stages""")
 def _(spark, sf):
     """Stages of thirty batches of jobs, written by one run, a third of them by a second, all by one that ended before its marker."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     by = F.col("batch")
     jobs = ad.job_stages(spark, sf).select((F.col("job_id") % 30).alias("batch"), "job_id", "stage_name", "status")
     note = lambda n, some: some.select("batch").distinct().withColumn("nth", F.lit(n))
@@ -201,9 +201,9 @@ def _(spark, sf):
     return data.join(metrics, "batch").select("job_id", "stage_name", "status", F.col("nth").cast("int").alias("run"))
 
 
-def _streamed(spark: SparkSession, out: DataFrame) -> DataFrame:
+def streamed(spark: SparkSession, out: DataFrame) -> DataFrame:
     """Runs a stream over all that its source holds now and reads what it wrote."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
@@ -215,4 +215,4 @@ def _(spark, sf):
     events = spark.readStream.schema(ad.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")  # a pattern, as a stream reads no single file by name
     time = F.timestamp_micros(F.round(epoch_seconds(F.col("ts")) * 1e6).cast("long"))
     twice = events.select(F.col("user_id").alias("mission_id"), F.col("event_id").alias("fix_id"), time.alias("fix_time"), F.explode(F.array(F.lit(1), F.lit(2))).alias("sent"))
-    return _streamed(spark, st.distinct_fixes(twice)).select("mission_id", "fix_id")
+    return streamed(spark, st.distinct_fixes(twice)).select("mission_id", "fix_id")
