@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import frozen, packed, prefix_sums, text_of, unpacked, words_of
+from skyfold.llm.common import frozen, numbered, prefix_sums, text_of, unpacked, words_of
 
 _FULL = (1 << 64) - 1
 
@@ -212,7 +212,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by one space. ``pass`` and ``shard`` (of the first stretch) are added. Other
     columns stay as they are. Documents without words are not taken.
     """
-    table = frozen(packed(docs).withColumn("_id", F.monotonically_increasing_id()))
+    table = numbered(docs)
     text = text_of(F.col(f"_row.`{text_col}`"))
     rows = table.select("_id", F.col(f"_row.`{id_col}`").alias("_key"), F.crc32(text.cast("binary")).alias("_crc"), F.col(f"_row.`{source_col}`").cast("string").alias("_src"), F.size(words_of(text)).cast("long").alias("_n"))
     placed, pieces = mixing_pieces(rows, "_src", "_n", ["_key", "_crc", "_n", "_id"], mix)
