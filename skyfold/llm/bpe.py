@@ -241,21 +241,31 @@ def _ids(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(lists)), pa.int32()))
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None) -> DataFrame:
     """docs with the token ids of each whole text (NULL: as empty, no ids). A column of the ids' name is replaced.
 
-    Rows are independent: no shuffle; a lost task encodes its rows anew.
+    With ``exact_col`` each text's ids are decoded again beside it, and that column
+    says whether they give the text's bytes. Rows are independent: no shuffle; a
+    lost task encodes its rows anew.
     """
     coder = _spread(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder().encode
+        encode, token = coder().encode, coder().tokens.__getitem__
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield _with(part, ids_col, _ids([encode(t) if t else [] for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]))
-
-    return docs.mapInArrow(run, _added(docs, ids_col, T.ArrayType(T.IntegerType(), False)))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                ids = [encode(t) if t else [] for t in texts]
+                out = _with(part, ids_col, _ids(ids))
+                if exact_col:
+                    out = _with(out, exact_col, pa.array([b"".join(map(token, i)) == (t or "").encode() for t, i in zip(texts, ids)]))
+                yield out
+
+    kind = _added(docs, ids_col, T.ArrayType(T.IntegerType(), False))
+    if exact_col:
+        kind = T.StructType([f for f in kind.fields if f.name.lower() != exact_col.lower()] + [T.StructField(exact_col, T.BooleanType())])
+    return docs.mapInArrow(run, kind)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
