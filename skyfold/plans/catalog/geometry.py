@@ -550,12 +550,13 @@ def _(spark, sf):
 
 # ---- confidence ----
 
-_DENS = """, cp AS (SELECT cloud_id mesh_id, x*2 x, y y, z/5 z FROM points), cn AS (SELECT q.mesh_id, q.v, count(*) n FROM vertices q JOIN cp p ON p.mesh_id=q.mesh_id AND p.x BETWEEN q.x-1.5 AND q.x+1.5 AND (p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)<=2.25 GROUP BY 1,2),
+_DENS = f""", cp AS (SELECT point_id//{ad.MESH_ROWS} mesh_id, x*2 x, y y, z/5 z FROM points), cn AS (SELECT q.mesh_id, q.v, count(*) n FROM vertices q JOIN cp p ON p.mesh_id=q.mesh_id AND p.x BETWEEN q.x-1.5 AND q.x+1.5 AND (p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)<=2.25 GROUP BY 1,2),
  ds AS (SELECT q.*, coalesce(n,0) neighbour_count, least(1e0,coalesce(n,0)/0.785e0/120e0) density_score FROM vertices q LEFT JOIN cn USING (mesh_id, v)) """
 
 
 def _density(spark, sf, vertices):
-    pts = ad.points(spark, sf).select(F.col("cloud_id").alias("mesh_id"), (F.col("x") * 2).alias("x"), "y", (F.col("z") / 5).alias("z"))
+    # points lie about the mesh of their key's range, as its vertices do
+    pts = ad.points(spark, sf).select(F.floor(F.col("point_id") / ad.MESH_ROWS).alias("mesh_id"), (F.col("x") * 2).alias("x"), "y", (F.col("z") / 5).alias("z"))
     return cf.density_score(vertices, pts, 1.5)
 
 
