@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from skyfold.llm.bpe import bpe_decode, bpe_encode
+from skyfold.llm.checks import CHECKS  # noqa: F401  (the entry reads it here)
 from skyfold.llm.common import frozen, text_of, words_of
 from skyfold.llm.exact_dedup import exact_duplicates
 from skyfold.llm.jaccard_join import jaccard_groups
@@ -24,7 +25,6 @@ from skyfold.llm.suffix_dedup import suffix_dedup
 from skyfold.llm.whitening import fit, identity_error, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
 
 
 def query(fn):
