@@ -34,4 +34,19 @@ CHECKS: dict[str, str] = {
  kp AS (SELECT doc_id, string_agg(substr(h, 2*a-1, 2*(z-a+1)), '' ORDER BY a) FILTER (z >= a) kept FROM pc JOIN b USING (doc_id) GROUP BY 1),
  ct AS (SELECT doc_id, CAST(sum(e-s+1) AS BIGINT) n_removed, count(*) n_spans FROM isl GROUP BY 1)
  SELECT b.doc_id, CAST(n AS BIGINT) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 FROM b LEFT JOIN kp USING (doc_id) LEFT JOIN ct USING (doc_id)""",
+    "op13_conversation_trie": """WITH RECURSIVE cb(i, k, v) AS (SELECT i, 0, i FROM range(256) q(i) UNION ALL SELECT i, k+1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM cb WHERE k < 8),
+ ct AS MATERIALIZED (SELECT i, v FROM cb WHERE k = 8), ids AS (SELECT DISTINCT conv_id c FROM conversations WHERE conv_id IS NOT NULL),
+ cr(c, s, j, crc) AS (SELECT c, CAST(c AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM ids UNION ALL SELECT c, s, j+1, xor(crc >> 8, v) FROM cr JOIN ct ON i = xor(crc, CAST(ascii(substr(s, j, 1)) AS BIGINT)) & 255 WHERE j <= length(s)),
+ hd AS MATERIALIZED (SELECT c, c - c%5 o, xor(crc, 4294967295) % 9 h FROM cr WHERE j > length(s)),
+ rk AS MATERIALIZED (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 r, coalesce(role, '') role, coalesce(text, '') t FROM conversations WHERE conv_id IS NOT NULL),
+ tk AS (SELECT hd.c, r + 1 d, role, t FROM hd JOIN rk ON rk.c = hd.o AND r < h), nb AS (SELECT c, count(*) n FROM tk GROUP BY 1),
+ rb AS (SELECT * FROM tk UNION ALL SELECT hd.c, r - h + coalesce(nb.n, 0) + 1, role, t FROM hd JOIN rk ON rk.c = hd.c AND r >= h LEFT JOIN nb ON nb.c = hd.c),
+ pre AS MATERIALIZED (SELECT c, d, md5(string_agg(md5(length(role) || ':' || role || t), '') OVER (PARTITION BY c ORDER BY d)) k, octet_length(encode(t)) b FROM rb UNION ALL SELECT c, 0, '', 0 FROM ids),
+ ln AS (SELECT c, max(d) m FROM pre GROUP BY 1),
+ nd AS MATERIALIZED (SELECT d, k, count(*) n, min(c) least, max(b) b, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = m), '') ends FROM pre JOIN ln USING (c) GROUP BY 1, 2),
+ pa AS MATERIALIZED (SELECT nd.d, nd.k, p.k pk, q.least up FROM nd JOIN pre p ON p.c = nd.least AND p.d = nd.d - 1 JOIN nd q ON q.d = p.d AND q.k = p.k),
+ ch AS (SELECT d - 1 d, pk k, count(*) n_children FROM pa GROUP BY 1, 2),
+ nc AS MATERIALIZED (SELECT nd.*, coalesce(n_children, 0) n_children FROM nd LEFT JOIN ch USING (d, k)),
+ su AS (SELECT a.d, a.k, sum((x.n - 1) * x.b) saved, count(*) FILTER (x.n_children = 0) leaves FROM nc x JOIN pre a ON a.c = x.least AND a.d <= x.d GROUP BY 1, 2)
+ SELECT nc.least conv_id, CAST(nc.d AS BIGINT) AS "depth", up parent_conv_id, nc.n n_convs, nc.n_children, leaves n_leaves, CAST(saved AS BIGINT) saved_tokens, sha256(nc.ends) ends_sha256 FROM nc JOIN su USING (d, k) LEFT JOIN pa USING (d, k)""",
 }
