@@ -118,7 +118,7 @@ class Graph:
                 self.start.append(s)
                 self.end.append(e)
                 self.label.append(label)
-                self.shape.append(zlib.crc32(re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token[:256])).encode()) % SHAPES)
+                self.shape.append(zlib.crc32(re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token)).encode()) % SHAPES)
                 if s - before == 1:
                     self.chain.append((me - 1, me))
                 before = e

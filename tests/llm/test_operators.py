@@ -477,6 +477,12 @@ def test_personal_data(spark, hard, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_a_shape_is_that_of_the_whole_token():
+    texts = ["x" * 300 + "1234567890", "x" * 300 + "@", "y" * 9 + "0987654321"]
+    one, two, three = pii.Graph(texts, [[], [], []]).shape
+    assert one == three != two
+
+
 def test_copies_of_the_corpus_leave_every_span():
     bare = [f"{3_000_000_000 + 7919 * i}" for i in range(400)]
     texts = [f"call +1{b}, {b}, +1{b} today" for b in bare[:4]] + [f"call +1 {b[:3]} {b[3:]} or, tonight, +1 {b[:3]} {b[3:]}" for b in bare[4:40]]
