@@ -148,13 +148,9 @@ def confidence_summary(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -
 
 def normalised_depth(depth: DataFrame) -> DataFrame:
     """Depth between its 5th and 95th percentile of the frame, as 0..1."""
-    ends = depth.where("depth > 0").groupBy("frame_id").agg(
-        F.percentile("depth", F.array(F.lit(0.05), F.lit(0.95))).alias("_p")
-    )
-    span = F.greatest(F.col("_p")[1] - F.col("_p")[0], F.lit(1e-3))
-    return depth.join(ends, "frame_id").withColumn(
-        "normalised", clip((F.col("depth") - F.col("_p")[0]) / span, 0, 1)
-    ).drop("_p")
+    ends = exact_quantiles(depth.where("depth > 0"), ["frame_id"], "depth", {"_lo": 0.05, "_hi": 0.95})
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-3))
+    return depth.join(ends, "frame_id").withColumn("normalised", clip((F.col("depth") - F.col("_lo")) / span, 0, 1)).drop("_lo", "_hi")
 
 
 def output_status(clouds: DataFrame, points: DataFrame, minimum: int = 100, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:

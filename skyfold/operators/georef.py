@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skyfold.functions import geodesy as geo, linalg as la
 from skyfold.functions.linalg import rounded
+from skyfold.operators.quantiles import exact_quantiles
 from skyfold.session import cut_lineage, spread
 
 # Source names and confidences of the scale sources, error factors.
@@ -18,16 +19,15 @@ PAIR_BLOCK = 2048
 
 
 def scale_from_baselines(cameras: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Median of true over relative length; baselines are a handful of surveyed lines per mission."""
+    """Median of true over relative length of surveyed lines, however many a mission has."""
     ends = lambda side: cameras.select(
         "mission_id", F.col("idx").alias(f"idx_{side}"), F.col("rel").alias(f"_{side}")
     )
     joined = baselines.join(ends("a"), ["mission_id", "idx_a"]).join(ends("b"), ["mission_id", "idx_b"])
     d = la.norm(la.sub(la.arr3("_a"), la.arr3("_b")))
     ratios = joined.withColumn("_d", d).where("_d > 1e-4").withColumn("_s", F.col("distance_m") / F.col("_d"))
-    out = ratios.groupBy("mission_id").agg(
-        F.percentile("_s", F.lit(0.5)).alias("scale"), F.count(F.lit(1)).alias("evaluated"), F.stddev_pop("_s").alias("_std")
-    )
+    sums = ratios.groupBy("mission_id").agg(F.count(F.lit(1)).alias("evaluated"), F.stddev_pop("_s").alias("_std"))
+    out = sums.join(exact_quantiles(ratios, ["mission_id"], "_s", {"scale": 0.5}), "mission_id")
     return out.select(
         "mission_id", "scale", F.when(F.col("evaluated") > 1, F.col("_std")).otherwise(0.02 * F.col("scale")).alias("std"),
         "evaluated", F.lit("CHECKPOINT_REFERENCE_SCALE").alias("source"),

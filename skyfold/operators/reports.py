@@ -30,6 +30,10 @@ def ground_sample_distance(missions: DataFrame) -> DataFrame:
     return missions.withColumn("achieved_gsd_cm", gsd)
 
 
+# The limits of the three criteria and of grade A.
+MAX_ERROR_PX, MAX_GSD_DRIFT_PCT, LEAST_POINTS, GRADE_A_PX = 2.5, 35.0, 50.0, 1.8
+
+
 def validation_criteria(runs: DataFrame) -> DataFrame:
     """One row per run and criterion with status; a missing measurement is UNAVAILABLE.
 
@@ -41,9 +45,9 @@ def validation_criteria(runs: DataFrame) -> DataFrame:
         F.lit(name).alias("parameter"), value.cast("double").alias("measured"), F.lit(limit).alias("threshold"), status.alias("status"))
     error, points = F.col("reproj_error_px"), F.col("points")
     rows = F.array(
-        entry("reprojection_error", error, 2.5, judge(error, error <= 2.5, "FAIL")),
-        entry("gsd_deviation_pct", drift, 35.0, judge(drift, drift <= 35.0, "WARNING")),
-        entry("point_count", points, 50.0, judge(points, points >= 50, "FAIL")),
+        entry("reprojection_error", error, MAX_ERROR_PX, judge(error, error <= MAX_ERROR_PX, "FAIL")),
+        entry("gsd_deviation_pct", drift, MAX_GSD_DRIFT_PCT, judge(drift, drift <= MAX_GSD_DRIFT_PCT, "WARNING")),
+        entry("point_count", points, LEAST_POINTS, judge(points, points >= LEAST_POINTS, "FAIL")),
     )
     return runs.select("run_id", F.explode(rows).alias("c")).select("run_id", "c.*")
 
@@ -54,7 +58,7 @@ def validation_status(runs: DataFrame, criteria: DataFrame) -> DataFrame:
     joined = runs.join(verdict, "run_id")
     return joined.select(
         "run_id", F.when(F.col("_ok"), "PASSED").otherwise("WARNING").alias("validation_status"),
-        F.when(F.col("_ok") & F.coalesce(F.col("reproj_error_px") < 1.8, F.lit(False)), "A").when(F.col("_ok"), "B").otherwise("C").alias("grade"),
+        F.when(F.col("_ok") & F.coalesce(F.col("reproj_error_px") < GRADE_A_PX, F.lit(False)), "A").when(F.col("_ok"), "B").otherwise("C").alias("grade"),
     )
 
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "skyfold") -> SparkSession:
-    """A local session for tests and the bench; a cluster supplies its own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "skyfold", folder: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with a folder for its tables; a cluster supplies its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -23,7 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "sk
         .getOrCreate()
     )
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.environ.get("SKYFOLD_CHECKPOINT_DIR", "/tmp/checkpoints"))
+        spark.sparkContext.setCheckpointDir(folder or os.environ.get("SKYFOLD_CHECKPOINT_DIR", "/tmp/checkpoints"))
     return spark
 
 
