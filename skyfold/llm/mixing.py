@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import frozen, numbered, prefix_sums, text_of, unpacked, words_of
+from skyfold.llm.common import frozen, numbered, packed, prefix_sums, text_of, unpacked, words_of
 
 _FULL = (1 << 64) - 1
 
@@ -197,12 +197,15 @@ def mixing_counts(rows: DataFrame, source_col: str, size_col: str, order: list[s
     A row of no words is never taken. NULL is a source of its own, after all
     others. Targets are reached to the word. Equal seeds give equal mixes: the
     order of the words is given by ``order``, and rows equal in all its columns
-    are interchangeable. An empty table gives no rows.
+    are interchangeable. An empty table gives no rows. Columns named like an
+    output are replaced; no other name can clash.
     """
-    placed, pieces = mixing_pieces(rows, source_col, size_col, order, mix)
+    keys = [F.col(f"_row.`{c}`").alias(f"_o{i}") for i, c in enumerate(order)]
+    inner = packed(rows).select("_row", *keys, F.col(f"_row.`{source_col}`").alias("_src"), F.col(f"_row.`{size_col}`").alias("_n"))
+    placed, pieces = mixing_pieces(inner, "_src", "_n", [f"_o{i}" for i in range(len(order))], mix)
     taken = pieces.groupBy(F.col("_s").alias("_ts"), F.col("rank").alias("_tr")).agg(F.sum(F.col("hi") - F.col("lo")).alias("_taken"))
     joined = placed.join(taken, (F.col("_s") == F.col("_ts")) & (F.col("rank") == F.col("_tr")), "left")
-    return joined.select(*rows.columns, "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return unpacked(joined, {"source_size": F.col("source_size"), "target": F.col("target"), "taken": F.coalesce("_taken", F.lit(0)).cast("long")})
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:

@@ -20,7 +20,8 @@ def byte_shards(rows: DataFrame, size_col: str, order: list[str], shards: int =
     are laid end to end and cut at equal targets, so a shard misses its target by
     half a row at each end at most. The positions come from one total per range
     partition; no row count or size limits a partition's share. ``slot`` counts
-    the rows of a shard from 0 without gaps. Sizes are at least 1. Rows equal in
+    the rows of a shard from 0 without gaps. Sizes are at least 1. Equal texts are
+    rows like any others: they lie where their ids put them, in one shard or several. Rows equal in
     all of ``order`` are interchangeable. An empty table gives no rows; working
     columns named ``before``, ``rank`` and ``total`` must not be in ``rows``.
     """

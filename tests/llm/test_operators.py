@@ -643,6 +643,20 @@ def test_pipeline_stages_on_hard_rows(spark, hard, empty):
             assert docs.columns[: len(hard.columns)] == hard.columns, name
 
 
+# --- names that clash
+
+
+def test_mixing_takes_columns_of_any_name(spark):
+    names = ["before", "rank", "total", "target", "taken", "_s", "source_size", "_part", "_own", "_block"]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 10 + i, *["x"] * len(names)) for i in range(40)], "doc_id long, source string, size long, " + ", ".join(f"{n} string" for n in names))
+    plain = mixing.mixing_counts(rows.select("doc_id", "source", "size"), "source", "size", ["doc_id"])
+    got = mixing.mixing_counts(rows, "source", "size", ["doc_id"])
+    outputs = {"target", "taken", "source_size"}
+    assert sorted(got.columns) == sorted({*rows.columns, *outputs})
+    assert {tuple(r) for r in got.select(plain.columns).collect()} == {tuple(r) for r in plain.collect()}
+    assert {r[n] for r in got.collect() for n in names if n not in outputs} == {"x"}
+
+
 # --- hashes
 
 
@@ -658,3 +672,16 @@ def test_swapped_letters_throughout_a_long_word_differ(spark):
     assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(rows).collect()} == {1: 0, 2: 0}
     pair = spark.createDataFrame([(1, " ".join([one] * 3)), (2, " ".join([two] * 3))], "_id long, _text string")
     assert {r["_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(pair).collect()} == {1: 1, 2: 2}
+
+
+def test_byte_shards_equal_a_plain_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 1) for r in docs)
+    total, before, slots, want = sum(r[2] for r in rows), 0, collections.Counter(), {}
+    for doc, crc, size in rows:
+        shard = (2 * before + size) * 16 // (2 * total)
+        want[doc] = (size, crc, "bytes", shard, slots[shard], None)
+        slots[shard] += 1
+        before += size
+    got = queries.QUERIES["op7_byte_shards"](spark, SF).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["shard"], r["slot"], r["grown_shard"]) for r in got} == want
